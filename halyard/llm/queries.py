@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from halyard.llm.decontaminate import contamination
 from halyard.llm.minhash import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,5 +49,33 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles,
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {"op1_minhash": op1_minhash}
-SQL: dict[str, str] = {"op1_minhash": OP1_SQL}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of eight words; two items make a document contaminated."""
+    return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+_WORDS = "regexp_extract_all(" + LOWER.format("text") + ", '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP7_SQL = f"""
+WITH b AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), p AS (
+  SELECT DISTINCT item, least(len(ws), 8) AS size, unnest([array_to_string(ws[i : i + 7], ' ') FOR i IN range(1, greatest(len(ws) - 7, 1) + 1)]) AS w
+  FROM b WHERE len(ws) > 0
+), d AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM documents
+), z AS (SELECT DISTINCT size FROM p
+), q AS (
+  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS ix, ws FROM d, z
+), h AS (
+  SELECT q.doc_id, q.ix, p.size, p.item FROM q JOIN p ON p.size = q.size AND p.w = array_to_string(q.ws[q.ix : q.ix + q.size - 1], ' ')
+), n AS (
+  SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(ix, ix + size)) AS pos FROM h) GROUP BY doc_id
+), i AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit, coalesce(i.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(i.items, '')) AS items_sha256, coalesce(i.n, 0) >= 2 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+QUERIES: dict[str, Query] = {"op1_minhash": op1_minhash, "op7_decontamination": op7_decontamination}
+SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op7_decontamination": OP7_SQL}
