@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from halyard.llm.decontaminate import contamination
 from halyard.llm.minhash import near_duplicates
+from halyard.llm.packing import pack
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,5 +78,16 @@ SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n.n, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {"op1_minhash": op1_minhash, "op7_decontamination": op7_decontamination}
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens of the lower-casing word vocabulary."""
+    import public_tokenizers
+
+    return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Query] = {
+    "op1_minhash": op1_minhash,
+    "op6_packing": op6_packing,
+    "op7_decontamination": op7_decontamination,
+}
 SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op7_decontamination": OP7_SQL}
