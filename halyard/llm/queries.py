@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from halyard.llm.decontaminate import contamination
 from halyard.llm.minhash import near_duplicates
 from halyard.llm.packing import pack
+from halyard.llm.pii import find_personal_data
+from halyard.llm.secrets import find_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,9 +87,19 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_read(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op3_pii": op3_pii,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
+    "op8_secrets": op8_secrets,
 }
 SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op7_decontamination": OP7_SQL}
