@@ -11,6 +11,7 @@ from halyard.llm.minhash import near_duplicates
 from halyard.llm.packing import pack
 from halyard.llm.pii import find_personal_data
 from halyard.llm.secrets import find_secrets
+from halyard.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,9 +96,14 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_pii": op3_pii,
+    "op4_toxicity": op4_toxicity,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
