@@ -10,6 +10,7 @@ from halyard.llm.decontaminate import contamination
 from halyard.llm.minhash import near_duplicates
 from halyard.llm.packing import pack
 from halyard.llm.pii import find_personal_data
+from halyard.llm.quality import score_quality
 from halyard.llm.secrets import find_secrets
 from halyard.llm.toxicity import score_toxicity
 
@@ -100,10 +101,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
