@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from halyard.llm.decontaminate import contamination
+from halyard.llm.lines import dedup_lines
 from halyard.llm.minhash import near_duplicates
 from halyard.llm.packing import pack
 from halyard.llm.pii import find_personal_data
@@ -105,6 +106,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without their repeated lines."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_removed_lines", "text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_pii": op3_pii,
@@ -113,5 +120,6 @@ QUERIES: dict[str, Query] = {
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op10_lines": op10_lines,
 }
 SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op7_decontamination": OP7_SQL}
