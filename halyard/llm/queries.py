@@ -13,6 +13,7 @@ from halyard.llm.packing import pack
 from halyard.llm.pii import find_personal_data
 from halyard.llm.quality import score_quality
 from halyard.llm.secrets import find_secrets
+from halyard.llm.spots import against_next
 from halyard.llm.toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,6 +113,10 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "n_removed_lines", "text")
 
 
+def op9_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return against_next(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
     "op3_pii": op3_pii,
@@ -120,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op6_packing": op6_packing,
     "op7_decontamination": op7_decontamination,
     "op8_secrets": op8_secrets,
+    "op9_spots": op9_spots,
     "op10_lines": op10_lines,
 }
 SQL: dict[str, str] = {"op1_minhash": OP1_SQL, "op7_decontamination": OP7_SQL}
