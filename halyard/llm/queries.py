@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from halyard.llm.crossentropy import score_documents
 from halyard.llm.decontaminate import contamination
 from halyard.llm.lines import dedup_lines
 from halyard.llm.minhash import near_duplicates
@@ -117,8 +118,13 @@ def op9_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return against_next(_read(spark, sf_dir, "documents"))
 
 
+def op2_crossentropy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minhash": op1_minhash,
+    "op2_crossentropy": op2_crossentropy,
     "op3_pii": op3_pii,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
