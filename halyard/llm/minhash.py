@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
@@ -69,7 +69,7 @@ def _band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands, sketch) of (doc_id, text); set_id null for a text without words."""
+    """(doc_id, row, n_shingles, set_id, bands, sketch) of (doc_id, row, text); set_id null for a text without words."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -83,9 +83,10 @@ def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
                     out.append((0, None, None, None))
             frame = pd.DataFrame(out, columns=["n_shingles", "set_id", "bands", "sketch"])
             frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
+            frame.insert(1, "row", pdf["row"].to_numpy())
             yield frame
 
-    return docs.mapInPandas(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary")
+    return docs.mapInPandas(run, "doc_id long, row long, n_shingles long, set_id binary, bands array<long>, sketch binary")
 
 
 def _likely(threshold: float, m: int = SLOTS):
@@ -140,8 +141,21 @@ def _confirmed(k: int, percent: int):
     return links
 
 
+def row_key() -> Column:
+    """Tells rows of documents (doc_id, text) apart, whatever is null."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """documents, all their columns, with one row of each group of near-duplicates: the least doc_id, once."""
+    kept = near_duplicates(documents, words, percent).filter("kept").select(F.col("row").alias("_row")).distinct()
+    keyed = documents.withColumn("_row", row_key())
+    # The join has brought equal rows together, so dropping repeats moves nothing again.
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*documents.columns)
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of documents (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, row) of each row of documents (doc_id, text).
 
     Texts link if 100 * intersection >= percent * union of their distinct
     ``words``-word shingles.  component_id is the least doc_id that a row
@@ -149,9 +163,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     blank texts have no set and link with nothing.  Repeated rows are equal
     texts: rows that share the least doc_id are all kept.  A row without
     doc_id has its component's least doc_id (null if there is none) and is
-    kept only in the latter case.  Other columns are not read.
+    kept only in the latter case.  row is xxhash64 of doc_id and text.  Other
+    columns are not read.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
     threshold = percent / 100
     rows = band_rows(threshold)
     sets = table(signatures(docs, words, rows), "signatures")
@@ -173,9 +188,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     joined = table(joined, "joined")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     component = joined.join(least, "root").select("set_id", "component_id")
-    out = sets.select("doc_id", "n_shingles", "set_id").join(component, "set_id", "left")
+    out = sets.select("doc_id", "row", "n_shingles", "set_id").join(component, "set_id", "left")
     own = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "row")
 
 
 def _with_set(rows: DataFrame, k: int) -> DataFrame:

@@ -28,7 +28,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles at 0.85."""
-    return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85).drop("row")
 
 
 OP1_SQL = f"""
