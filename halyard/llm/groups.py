@@ -70,33 +70,42 @@ def components(edges: DataFrame) -> DataFrame:
     return star.union(e.select("lo", "lo").distinct())
 
 
-def _runs(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of frames sorted by ``keys``, over the borders of batches."""
-    held: list[pd.DataFrame] = []
+Group = dict[str, np.ndarray]
+
+
+def _runs(it: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[Group]:
+    """The groups of frames sorted by ``keys``, over the borders of batches, as arrays by column."""
+    held: list[Group] = []
     last = None
     for pdf in it:
         if not len(pdf):
             continue
+        batch = {c: pdf[c].to_numpy() for c in pdf.columns}
         change = np.zeros(len(pdf), bool)
         for k in keys:
-            v = pdf[k].to_numpy()
-            change[1:] |= v[1:] != v[:-1]
+            change[1:] |= batch[k][1:] != batch[k][:-1]
         cuts = [0, *np.flatnonzero(change).tolist(), len(pdf)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            if a == b:
-                continue
-            part = pdf.iloc[a:b]
-            key = tuple(part[k].iloc[0] for k in keys)
-            if held and key != last:
-                yield pd.concat(held) if len(held) > 1 else held[0]
+            part = {c: v[a:b] for c, v in batch.items()}
+            if a == 0:
+                key = tuple(part[k][0] for k in keys)
+                if held and key != last:
+                    yield _join(held)
+                    held = []
+            elif held:
+                yield _join(held)
                 held = []
             held.append(part)
-            last = key
+        last = tuple(batch[k][-1] for k in keys)
     if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
+        yield _join(held)
+
+
+def _join(parts: list[Group]) -> Group:
+    return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
-def compare_in_blocks(members: DataFrame, links: Callable[[pd.DataFrame], Iterator[tuple[int, int]]], block: int, weight: Column | None = None, most: int = 1) -> DataFrame:
+def compare_in_blocks(members: DataFrame, links: Callable[[Group], Iterator[tuple[int, int]]], block: int, weight: Column | None = None, most: int = 1) -> DataFrame:
     """Links (a, b) that ``links`` finds among the members (key, id, ...) of each key, as a forest.
 
     A key of up to ``block`` members and ``most`` weight is one group.  A
@@ -115,8 +124,8 @@ def compare_in_blocks(members: DataFrame, links: Callable[[pd.DataFrame], Iterat
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for group in _runs(it, ["key", "_x", "_y"]):
-            if len(group) > 1:
-                ids = group["id"].tolist()
+            if len(group["id"]) > 1:
+                ids = group["id"]
                 out += [(ids[i], ids[j]) for i, j in links(group)]
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["a", "b"])

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
-from halyard.llm.groups import UnionFind, compare_in_blocks, components, shared_keys
+from halyard.llm.groups import Group, UnionFind, compare_in_blocks, components, shared_keys
 from halyard.llm.shared import table
 
 SLOTS = 256
@@ -92,9 +92,9 @@ def signatures(docs: DataFrame, k: int, rows: int) -> DataFrame:
 def _likely(threshold: float, m: int = SLOTS):
     least = m * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / m))
 
-    def links(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
-        x = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(len(group), m)
-        n = group["n_shingles"].to_numpy()
+    def links(group: Group) -> Iterator[tuple[int, int]]:
+        x = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, m)
+        n = group["n_shingles"]
         rest = np.arange(len(x))
         while len(rest) > 1:  # one search outwards from each member that nobody has reached
             front, rest = [int(rest[0])], rest[1:]
@@ -110,7 +110,7 @@ def _likely(threshold: float, m: int = SLOTS):
 
 
 def _confirmed(k: int, percent: int):
-    def links(group: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    def links(group: Group) -> Iterator[tuple[int, int]]:
         sets = [hashing.shingles(w, k) for w in hashing.word_hashes(group["text"].tolist())]
         sizes = np.array([len(s) for s in sets])
         if len(sets) == 2:

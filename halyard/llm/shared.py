@@ -6,8 +6,12 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +51,40 @@ def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def table(df: DataFrame, name: str) -> DataFrame:
     return cut(df, name)[0]
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
+    """The rows of df whose long ``key`` may be among those of ``wanted``: a Bloom filter before a join.
+
+    It never loses a row that the join would keep.  Its size follows the
+    number of wanted keys up to ``most_bits``; beyond, it lets more through.
+    """
+    count = wanted.count()
+    bits = min(most_bits, 1 << max(10, (16 * count).bit_length()))
+
+    def places(keys: np.ndarray) -> list[np.ndarray]:
+        k = keys.astype(np.int64).view(np.uint64)
+        return [(k * np.uint64(c) >> np.uint64(20)) & np.uint64(bits - 1) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+    def fill(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(bits, bool)
+        for pdf in it:
+            for at in places(pdf["k"].to_numpy()):
+                seen[at] = True
+        yield pd.DataFrame({"part": [np.packbits(seen).tobytes()]})
+
+    total = np.zeros(bits // 8, np.uint8)
+    for row in wanted.select(F.col(key).alias("k")).coalesce(8).mapInPandas(fill, "part binary").toLocalIterator():
+        total |= np.frombuffer(row["part"], np.uint8)
+    sent = df.sparkSession.sparkContext.broadcast(total.tobytes())
+
+    @F.pandas_udf("boolean")
+    def maybe(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seen = np.frombuffer(sent.value, np.uint8)
+        for keys in it:
+            found = np.ones(len(keys), bool)
+            for at in places(keys.to_numpy()):
+                found &= (seen[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+            yield pd.Series(found)
+
+    return df.filter(maybe(key))
