@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
-from halyard.llm.shared import table
 
 #: Common words that anchor chains, in English, German, French and Spanish, and words that chains skip.
 ANCHORS = "the a is of to and in it be was for der die das und ist ein den zu von le la les de des un une et que est el los las en y es con".split()
@@ -120,50 +120,47 @@ def against_next(documents: DataFrame) -> DataFrame:
     rows without doc_id come last.  A lone row is next to itself.  An empty
     table gives none.  Other columns are not read.
 
-    The rows are sorted by range, each part is read as a stream, and only each
-    part's first and last row meet again, so no key and no part meets in one
-    task with another.
+    Rows are dealt to parts by ranges of the order, and each part is read as a
+    stream.  A copy of each part's first row follows the rows of the part
+    before, so parts need not meet; there are as many parts as partitions.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.withColumns({"last": F.col("doc_id").isNull().cast("int"), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "h": F.xxhash64("text")})
+    order = ["last", "down", "h"]
+    rows = docs.count()
+    some = sorted(tuple(r) for r in docs.select(*order).sample(fraction=min(1.0, 50 * parts / max(rows, 1)), seed=0).collect())  # about 50 a part
+    bounds = sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
+
+    @F.pandas_udf("int")
+    def part_of(last: pd.Series, down: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(bounds, key) for key in zip(last.tolist(), down.tolist(), h.tolist(), strict=True)], dtype="int32")
+
+    keyed = docs.withColumn("part", part_of(*order))
+    heads = sorted((r["part"], *r["first"]) for r in keyed.groupBy("part").agg(F.min(F.struct(*order)).alias("first")).collect())  # a row a part
+    moved = [(heads[i - 1][0], *key) for i, (_, *key) in enumerate(heads)]
+    ends = spark.createDataFrame(moved, "part int, last int, down long, h long")
+    copies = docs.join(F.broadcast(ends), order).dropDuplicates(["part"]).select("doc_id", "text", *order, "part", F.lit(1).alias("end"))
+    dealt = keyed.select("doc_id", "text", *order, "part", F.lit(0).alias("end")).union(copies)
+    ranged = dealt.repartition(parts, "part").sortWithinPartitions("part", "end", *order).select("doc_id", "text", "end")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = None
         for pdf in it:
             out = []
-            for doc, text, part in zip(pdf["doc_id"].astype("Int64"), pdf["text"].tolist(), pdf["part"].tolist(), strict=True):
+            for doc, text, end in zip(pdf["doc_id"].astype("Int64"), pdf["text"].tolist(), pdf["end"].tolist(), strict=True):
                 own = signature_set(text)
-                if before is None:
-                    out.append((None,) * 7 + (part, "first", text))
-                else:
-                    out.append((*_row(*before, text, own), part, None, None))
-                before = (None if doc is pd.NA else doc, text, own)
+                if before is not None:
+                    out.append(_row(*before, text, own))
+                before = None if end else (None if doc is pd.NA else doc, text, own)
             yield _frame(out)
-        if before is not None:
-            yield _frame([(before[0], *(None,) * 6, part, "last", before[1])])
-
-    done = table(ranged.mapInPandas(run, _OUT + ", part int, edge string, text string"), "spots")
-    # Parts that hold rows, in order: as many numbers as there are partitions.
-    held = sorted(r["part"] for r in done.filter("edge = 'first'").select("part").collect())
-    follows = spark.createDataFrame([(a, b) for a, b in zip(held, held[1:] + held[:1], strict=True)], "part int, next_part int")
-    last = done.filter("edge = 'last'").select("part", "doc_id", "text").join(F.broadcast(follows), "part")
-    first = done.filter("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("following"))
-
-    def join(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            rows = [_row(None if pd.isna(d) else int(d), t, signature_set(t), f, signature_set(f)) for d, t, f in zip(pdf["doc_id"], pdf["text"], pdf["following"], strict=True)]
-            yield _frame([(*r, 0, None, None) for r in rows])[_frame([]).columns[:7]]
 
-    edges = last.join(first, "next_part").select("doc_id", "text", "following").mapInPandas(join, _OUT)
-    return done.filter("edge is null").select(*edges.columns).unionByName(edges)
+    return ranged.mapInPandas(run, _OUT)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [*(x.split()[0] for x in _OUT.split(", ")), "part", "edge", "text"]
-    out = pd.DataFrame(rows, columns=names)
+    out = pd.DataFrame(rows, columns=[x.split()[0] for x in _OUT.split(", ")])
     for c in ("doc_id", "n_chars"):
         out[c] = out[c].astype("Int64")
     return out
