@@ -71,8 +71,8 @@ def vocabulary(docs: DataFrame, most: int) -> Vocabulary:
         return pd.DataFrame({"h": h.view(np.int64), "n": n})
 
     counts = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    best = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toPandas()
-    return Vocabulary(best["h"].to_numpy(np.int64).view(np.uint64))
+    best = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
+    return Vocabulary(best["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def bigrams(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -146,12 +146,16 @@ def score_documents(documents: DataFrame, labels: DataFrame, words: int = 20_000
     marked = docs.join(good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(0)))
     counts = table(bigrams(marked, vocab), "bigrams")
     width = len(vocab) + 2
-    single = counts.groupBy((F.col("pair") % width).alias("w")).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toPandas()  # a row for each word at most
+    single = counts.groupBy((F.col("pair") % width).alias("w")).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()  # a row for each word at most
     totals = np.zeros((2, width))
     for column, values in enumerate((single["n"], single["n1"])):
-        totals[column, single["w"].to_numpy(int)] = values
-    kept = _most_frequent(counts, most).toPandas().sort_values("pair")
-    sent = docs.sparkSession.sparkContext.broadcast((vocab.hashes, kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(float), kept["n1"].to_numpy(float), totals))
+        totals[column, single["w"].to_numpy().astype(int)] = values.to_numpy()
+    # Arrow, since as many rows as objects would not fit beside the driver.
+    kept = _most_frequent(counts, most).toArrow()
+    pair = kept["pair"].to_numpy()
+    order = np.argsort(pair)
+    sent = docs.sparkSession.sparkContext.broadcast((vocab.hashes, pair[order], *(kept[c].to_numpy()[order].astype(float) for c in ("n", "n1")), totals))
+    del kept, pair, order
 
     @F.pandas_udf("n_tokens long, target_loss double, background_loss double, difference double")
     def score(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
