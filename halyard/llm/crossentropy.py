@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
-from halyard.llm.shared import table
+from halyard.llm.shared import bounded_batches, table
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BATCH = 2_000_000
@@ -140,6 +140,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, words: int = 20_000
     count as often as they occur; repeated labels once.  Without target rows
     the target is uniform.  Other columns are not read.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocab = vocabulary(docs, words)
     good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(1))

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.llm.shared import bounded_batches
+
 #: A-Z are lower-cased; of ASCII only digits and letters belong to words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _PIECE = 1 << 22
@@ -150,6 +152,7 @@ def find_passages(documents: DataFrame, benchmark: DataFrame, size: int = 8, mos
     part.  Further columns of documents stay as they are, those of benchmark
     are not read.
     """
+    bounded_batches(documents.sparkSession)
     text = F.col("text").cast("string")
     found = [_finder(_windows(p, size), size, documents.sparkSession)(text) for p in _items(benchmark, most)]
     names = [f"_found{i}" for i in range(len(found))]

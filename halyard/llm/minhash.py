@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.groups import Group, UnionFind, compare_in_blocks, components, shared_keys
-from halyard.llm.shared import table
+from halyard.llm.shared import bounded_batches, table
 
 SLOTS = 256
 _LOW = np.uint64(0x0000FFFFFFFFFFFF)
@@ -166,6 +166,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     kept only in the latter case.  row is xxhash64 of doc_id and text.  Other
     columns are not read.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row"), F.col("text").cast("string").alias("text"))
     threshold = percent / 100
     rows = band_rows(threshold)

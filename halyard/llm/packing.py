@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import table
+from halyard.llm.shared import bounded_batches, table
 from halyard.llm.tokens import tokenizer
 
 
@@ -70,6 +70,7 @@ def tokenised(documents: DataFrame, path: str, end_id: int, size: int) -> DataFr
                 crcs.append([zlib.crc32(ids[i : i + 4 * size]) for i in range(0, len(ids), 4 * size)])
             yield pdf[["doc_id"]].assign(doc_tokens=n, crcs=crcs)
 
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInPandas(run, "doc_id long, doc_tokens long, crcs array<long>")
 

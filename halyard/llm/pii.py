@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import table
+from halyard.llm.shared import bounded_batches, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -121,6 +121,7 @@ def scan(documents: DataFrame) -> DataFrame:
             frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield frame
 
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInPandas(run, f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, occurrences {_OCC}")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.fit import LABELLED, labelled_sample, logistic, sigmoid
-from halyard.llm.shared import table
+from halyard.llm.shared import bounded_batches, table
 
 BINS = 16
 #: Function words of English, German, French and Spanish: running prose holds many.
@@ -141,6 +141,7 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = 3, sure: float
     class is at least ``sure``; together they weigh as much as the labelled
     rows of that class at most.
     """
+    bounded_batches(documents.sparkSession)
     rows = _inputs(documents)
     chosen = labelled_sample(labels, "quality", most)
     coded = table(_codes(rows.join(F.broadcast(chosen), "doc_id", "left"), ["doc_id", "label"]), "bins")

@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halyard.llm.shared import bounded_batches
+
 KINDS = ("assign", "access", "hex", "literal")
 
 _KEY = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -133,5 +135,6 @@ def find_secrets(documents: DataFrame) -> DataFrame:
             frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield frame
 
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -31,6 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Let no Arrow batch between the JVM and Python be much larger than ``size``, so a worker holds few texts at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def _path(spark: SparkSession, where: str):
     return spark._jvm.org.apache.hadoop.fs.Path(where)
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
+from halyard.llm.shared import bounded_batches
 
 #: Common words that anchor chains, in English, German, French and Spanish, and words that chains skip.
 ANCHORS = "the a is of to and in it be was for der die das und ist ein den zu von le la les de des un une et que est el los las en y es con".split()
@@ -125,6 +126,7 @@ def against_next(documents: DataFrame) -> DataFrame:
     before, so parts need not meet; there are as many parts as partitions.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumns({"last": F.col("doc_id").isNull().cast("int"), "down": F.coalesce(F.bitwise_not("doc_id"), F.lit(0)), "h": F.xxhash64("text")})

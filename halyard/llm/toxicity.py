@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.fit import LABELLED, labelled_sample, logistic, sigmoid
+from halyard.llm.shared import bounded_batches
 
 TARGETS = frozenset("you your yours yourself u ur he she they them him her du dich dir ihr euch sie tu toi te vous votre tú usted ustedes ti ellos".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't without nicht kein keine nie ohne pas jamais ni sin nunca".split())
@@ -191,6 +192,7 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0
     Repeated rows score alike.  Without usable labels the score is the share
     of label 1, or 0.5 if there are none.  Other columns are not read.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = labelled_sample(labels, "toxic", most, ~_held_out())
     sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "label")
