@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halyard.session import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
@@ -32,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Let no Arrow batch between the JVM and Python be much larger than ``size``, so a worker holds few texts at a time."""
+    """Send the package, and let no Arrow batch to Python be much larger than ``size``: a worker holds few texts at a time."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
