@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -49,10 +50,23 @@ def drop(spark: SparkSession, where: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Tables that live until the driver ends, since lazy results may read them.
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def _drop_all() -> None:
+    for spark, where in _WRITTEN:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            drop(spark, where)
+
+
 def cut(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     where = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_drop_all)
+    _WRITTEN.append((spark, where))
     df.write.option("compression", "zstd").parquet(where)
     return spark.read.schema(df.schema).parquet(where), where
 
