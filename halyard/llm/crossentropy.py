@@ -130,6 +130,19 @@ class Model:
         return -np.log2((c + self.strength * self.unigram[pairs % self.width]) / (self.context[pairs // self.width] + self.strength))
 
 
+def _marked(docs: DataFrame, good: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """docs with ``target``, 1 for the ids in ``good``: all of those are sent if there are ``most`` at most, else joined."""
+    if good.count() > most:
+        return docs.join(good.withColumn("target", F.lit(1)), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(0)))
+    ids = docs.sparkSession.sparkContext.broadcast(np.sort(good.toArrow()["doc_id"].to_numpy().astype(np.int64)))
+
+    @F.pandas_udf("int")
+    def held(doc_id: pd.Series) -> pd.Series:
+        return doc_id.isin(ids.value).astype("int32")
+
+    return docs.withColumn("target", F.when(F.col("doc_id").isNull(), 0).otherwise(held(F.coalesce("doc_id", F.lit(0)))))
+
+
 def score_documents(documents: DataFrame, labels: DataFrame, words: int = 20_000, most: int = 1_000_000, strength: float = 50.0) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) of each row of documents (doc_id, text).
 
@@ -143,8 +156,8 @@ def score_documents(documents: DataFrame, labels: DataFrame, words: int = 20_000
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     vocab = vocabulary(docs, words)
-    good = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("target", F.lit(1))
-    marked = docs.join(good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(0)))
+    good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marked = _marked(docs, good)
     counts = table(bigrams(marked, vocab), "bigrams")
     width = len(vocab) + 2
     single = counts.groupBy((F.col("pair") % width).alias("w")).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()  # a row for each word at most

@@ -261,6 +261,12 @@ def test_cross_entropy_against_counts(spark):
         assert [r["n_tokens"], r["target_loss"], r["background_loss"], r["difference"]] == pytest.approx([len(v), *losses, losses[0] - losses[1]])
 
 
+def test_target_marks_sent_or_joined(spark):
+    docs, good = odd(spark).select("doc_id", "text"), spark.createDataFrame([(4,), (5,), (99,)], "doc_id long")
+    sent, met = (sorted(str((r["doc_id"], r["target"])) for r in crossentropy._marked(docs, good, most).collect()) for most in (10, 0))
+    assert sent == met and sum(x.endswith("1)") for x in sent) == 3
+
+
 def test_scores_of_odd_rows(spark):
     labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (6, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     for f in (crossentropy.score_documents, toxicity.score_toxicity, quality.score_quality):
