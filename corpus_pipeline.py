@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from halyard.llm.decontaminate import clean
-from halyard.llm.lines import dedup_lines
+from halyard.llm.lines import WIDE, dedup_lines
 from halyard.llm.minhash import one_of_each
 from halyard.llm.packing import pack
 from halyard.llm.quality import keep_good
@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that loses all its lines goes."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, bits=WIDE)
     return out.filter("n_removed_lines = 0 or trim(text) != ''").select(*docs.columns)
 
 

@@ -152,3 +152,44 @@ def test_odd_lines(spark):
     assert len(got) == 9 and sum(r["n_removed_lines"] for r in got) == 0
     assert [r["text"] for r in got if r["doc_id"] == 1] == [None]
     assert lines.dedup_lines(empty(spark)).count() == 0
+
+
+def near_equal_pairs(words, kind, n=150):
+    """Pairs of normalised lines of ``words`` words that the edit rule links: one changed word, one typo, or edits in a tenth of the places."""
+    rng = random.Random(f"{words} {kind}")
+    word = lambda: "".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 8)))
+    pool = [word() for _ in range(3000)]
+    out = []
+    while len(out) < n:
+        a = [rng.choice(pool) for _ in range(words)]
+        if kind == "word":
+            b = list(a)
+            b[rng.randrange(words)] = rng.choice(pool)
+            a, b = " ".join(a), " ".join(b)
+        else:
+            a = " ".join(a)
+            b = list(a)
+            for _ in range(1 if kind == "typo" else len(a) // 10):
+                b[rng.randrange(len(b))] = rng.choice("etaoinshrdlucm")
+            b = "".join(b)
+        if a != b and lines.similar(a, b, 90):
+            out.append((a.encode(), b.encode()))
+    return out
+
+
+@pytest.mark.parametrize("words", [8, 12, 20, 50, 100])
+def test_wide_links_reach_the_edit_rule(words):
+    share = {}
+    for kind in ("word", "typo", "tenth"):
+        a, b = zip(*near_equal_pairs(words, kind), strict=True)
+        meet = (lines.band_keys(list(a)) == lines.band_keys(list(b))).any(axis=1)
+        share[kind] = np.mean(meet & (np.bitwise_count(lines.simhashes(list(a)) ^ lines.simhashes(list(b))).sum(axis=1) <= lines.WIDE))
+    print(words, share)
+    assert share["word"] >= 0.9 and share["typo"] >= 0.95
+
+
+def test_near_equal_lines_go(spark):
+    pairs = [p for words in (8, 12, 20, 50, 100) for p in near_equal_pairs(words, "word", 20)]
+    texts = [f"{a.decode()}\n{b.decode()}" for a, b in pairs]
+    got = lines.dedup_lines(table(spark, texts), bits=lines.WIDE).collect()
+    assert sum(r["n_removed_lines"] for r in got) >= 0.9 * len(pairs) and all(r["n_removed_lines"] <= 1 for r in got)
