@@ -35,8 +35,9 @@ SENSITIVE = {
     "private": 0.7, "auth": 0.6, "bearer": 0.7, "access": 0.5, "key": 0.6, "session": 0.5, "salt": 0.5, "signature": 0.4,
 }
 
-_PAIR = re.compile(r"""(?<![\w.])["']?([A-Za-z_][\w.-]{0,63})["']?[\x20\t]*(?:=>|:=|==?|:)[\x20\t]*(?=["'`\w+/$])""", re.ASCII)
-_TERM = re.compile(r""""([^"\n]{0,400})"|'([^'\n]{0,400})'|`([^`\n]{0,400})`|([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+# A run of name characters is tried once, at the first name in it: later starts end alike.
+_PAIR = re.compile(r"""(?<![\w.-])["']?(?:(?![A-Za-z_])[\w.]*+-)*+([A-Za-z_][\w.-]*+)["']?[\x20\t]*+(?:=>|:=|==?|:)[\x20\t]*(?=["'`\w+/$])""", re.ASCII)
+_TERM = re.compile(r""""([^"\n]*+)"|'([^'\n]*+)'|`([^`\n]*+)`|([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_][\w.]*", re.ASCII)
 _PLACEHOLDER = re.compile(r"example|changeme|placeholder|your[_-]|xxx+|\.\.\.|^<.*>$|^\$|\*\*\*|^(true|false|none|null)$", re.IGNORECASE)
@@ -78,31 +79,42 @@ def score(name: str, literal: str) -> float:
 
 
 def assigned_literals(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(name, literal, start, end): each literal with a name it is assigned to, also through constants."""
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    """(name, literal, start, end): each literal with the most sensitive name it is assigned to, also through constants.
+
+    What is held is one entry for each assignment and term of the text.
+    """
+    known: dict[str, int] = {}
+    made: list[tuple[list[tuple[int, int]], list[int]]] = []
+    best: list[tuple[float, str]] = []
     at = 0
     while m := _PAIR.search(text, at):
         at = m.end()
-        parts: list[tuple[str, int, int]] = []
+        spans: list[tuple[int, int]] = []
+        uses: list[int] = []
         pos = at
         while t := _TERM.match(text, pos):
             quoted = t.lastindex != 4
             if not quoted and _NAME.fullmatch(t[4]) and t[4] in known:
-                parts += known[t[4]]
+                uses.append(known[t[4]])
             elif t[t.lastindex]:
-                parts.append((t[t.lastindex], *t.span(t.lastindex)))
+                spans.append(t.span(t.lastindex))
             pos = t.end()
             plus = _PLUS.match(text, pos)
             if not plus:
                 break
             pos = plus.end()
-        if not parts:
+        if not spans and not uses:
             continue
-        if len(known) > 10_000:
-            known.clear()
-        known[m[1]] = parts[:16]
-        for literal, a, b in parts:
-            yield m[1], literal, a, b
+        known[m[1]] = len(made)
+        made.append((spans, uses))
+        best.append((sensitivity(m[1]), m[1]))
+    # Constants are made before they are used, so one pass from the end takes names back to the literals.
+    for k in range(len(made) - 1, -1, -1):
+        spans, uses = made[k]
+        for u in uses:
+            best[u] = max(best[u], best[k])
+        for a, b in spans:
+            yield best[k][1], text[a:b], a, b
 
 
 def spans_of(text: str | None, least: float = 0.45) -> list[tuple[int, int, int]]:

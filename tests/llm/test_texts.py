@@ -100,6 +100,22 @@ def test_constants_are_followed():
     assert found == ["x9Kq-72hhTT0"] or found == ["x9Kq-72hhTT0", "Zz81"]
 
 
+def test_literals_names_and_sums_of_any_length():
+    rng = random.Random(5)
+    literal = "".join(rng.choice("abcXYZ0189-_") for _ in range(2000))
+    spans = lambda t: [t[a:b] for a, k, b in secrets.spans_of(t) if k == 3]
+    for quote in "\"'`":
+        assert spans(f"credential = {quote}{literal}{quote}") == [literal]
+    assert spans("db." + "x" * 100 + f"_auth = '{literal}'") == [literal]
+    sums = "a = " + " + ".join(f"'{literal[30 * i : 30 * i + 20]}'" for i in range(40)) + "\nbearer = a\n"
+    assert len(spans(sums)) == 40
+    many = f"first = '{literal[:30]}'\n" + "".join(f"n{i} = {i}\n" for i in range(12_000)) + "password = first\n"
+    assert spans(many) == [literal[:30]]
+    assert spans("--password=" + literal[:30]) == [literal[:30]]
+    doubled = "a = 'x9Kq-72hhTT0'\n" + "a = a + a\n" * 60 + "password = a\n"
+    assert spans(doubled) == ["x9Kq-72hhTT0"]
+
+
 def test_secrets_query_and_odd_rows(spark):
     got = {r["doc_id"]: r for r in QUERIES["op8_secrets"](spark, SF).collect()}
     for r in documents(spark).collect():
