@@ -113,7 +113,7 @@ def clause_weight(words: list[str], lexicon: Lexicon) -> tuple[float, int, int]:
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Of a whole text: largest and summed clause weight, distinct insults, matched clauses, density, tagged share."""
     low = (text or "").lower()
-    if not low or (not lexicon.any(words := set(_words(low))) and THREATS.isdisjoint(words)):
+    if not low or (not lexicon.any(words := set(_WORD.findall(low))) and THREATS.isdisjoint(words)):
         return [0.0] * 6
     weights, insults, tagged, n = [], 0, 0, 0
     seen: set[str] = set()
@@ -130,16 +130,6 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [min(top, 12.0), math.log1p(sum(weights)), float(min(len(seen), 8)), math.log1p(len(weights)), min(1.0, 50 * len(weights) / max(n, 1)), tagged / max(insults, 1)]
 
 
-_PUNCT = str.maketrans({c: " " for c in ".,;:!?()[]{}\"|*%$#&+=/<>-_\n\t"})
-
-
-def _words(low: str) -> list[str]:
-    return low.translate(_PUNCT).split() if not low.isascii() else low.encode().translate(_ASCII).decode().split()
-
-
-_ASCII = bytes(c if chr(c).isalnum() and c < 128 or chr(c) == "'" else 32 for c in range(256))
-
-
 def _held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
@@ -162,7 +152,7 @@ def learn_lexicon(sample: DataFrame, least: int = 3, evidence: float = 16.0, mos
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
         for pdf in it:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                words = {w for w in _words((text or "").lower()) if w.isalpha() and len(w) > 2}
+                words = {w for w in _WORD.findall((text or "").lower()) if w.isalpha() and len(w) > 2}
                 tally[label].update(words)
                 for k in STEMS:
                     tally[label].update({w[:k] + "*" for w in words if len(w) >= k})

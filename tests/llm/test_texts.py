@@ -306,6 +306,18 @@ def test_held_out_accuracy(spark):
     assert (good["good"] == good["quality"]).mean() > 0.93
 
 
+def test_gate_never_changes_features():
+    lex = toxicity.Lexicon({"idiot": 4.0, "idiota": 4.0, "moron": 3.0, "connard": 3.0, "fool*": 2.0})
+    for t in ("'idiot'", "¡idiota!", "„idiot“", "“moron”", "«connard»", "‘foolish’ été", "é—kill—", "'kill'"):
+        assert toxicity.features(t, lex)[0] > 0
+    assert toxicity.features("a calm 'day' «été»", lex) == [0.0] * 6
+
+
+def test_quoted_words_are_learned(spark):
+    texts = [(f"„Dummkopf“ número{i} a{i} b{i}", 1) for i in range(30)] + [(f"día número{i} c{i} d{i}", 0) for i in range(30)]
+    assert "dummkopf" in toxicity.learn_lexicon(spark.createDataFrame(texts, "text string, label int"))
+
+
 def test_clauses():
     lex = toxicity.Lexicon({"idiot": 4.0, "fool*": 2.0})
     weight = lambda s: toxicity.clause_weight(s.split(), lex)[0]
