@@ -1,12 +1,14 @@
 """Personal data: base formats, and identifiers found by bootstrapped context patterns.
 
 Base matches are the seeds.  Every identifier-like token (it holds a digit or
-an @) is an instance, and each occurrence ties it to patterns: its shape with
-the word before or after it.  Spark scores the graph of patterns and instances
-in rounds: a pattern is worth the share of its weight that lies on trusted
-instances of a kind, an instance is worth its best patterns.  Patterns of high
-worth that enough different seeds support turn the other tokens they meet into
-spans of kind ``ctx_<kind>``.
+an @) is an instance, and each occurrence ties it to patterns: the one or two
+words before or after it, with a coarse class of its shape.  Spark scores the
+graph of patterns and instances in rounds: a pattern is worth the share of its
+weight that lies on trusted instances of a kind, an instance what its good
+patterns cover of all its occurrences.  Instances that gain trust support new
+patterns in the next round.  Patterns of high worth that enough different
+trusted instances support turn the other tokens they meet into spans of kind
+``ctx_<kind>``.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"(?<!\S)(?=\S*[0-9@])\S+")
 _WORD = re.compile(r"[^\W\d_]+")
-_RUN = re.compile(r"(9+|a+|A+)")
 _STRIP = ".,;:!?\"'()[]{}<>*%$#&|"
 
 
@@ -73,14 +74,20 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _neighbour(text: str, start: int, end: int, last: bool) -> str:
+def _contexts(text: str, start: int, end: int, token: str, last: bool) -> list[str]:
+    """The nearest word and the nearest two words, each with the token's class; none at the text's edge."""
     words = _WORD.findall(text[max(0, start) : end])
-    return (words[-1] if last else words[0])[:24].lower() if words else "^"
+    words = [w[:24].lower() for w in (words[-2:] if last else words[:2])]
+    if not words:
+        return []
+    near = [words[-1] if last else words[0], " ".join(words)]
+    return [_class(token) + "<>"[not last] + w for w in near[: len(words)]]
 
 
-def _shape(token: str) -> str:
-    form = "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in token[:64])
-    return _RUN.sub(lambda m: f"{m[0][0]}{min(len(m[0]), 20)}", form)
+def _class(token: str) -> str:
+    if "@" in token:
+        return "@"
+    return "9" if 2 * sum(map(str.isdigit, token)) > sum(map(str.isalnum, token)) else "a"
 
 
 def _occurrences(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple]:
@@ -97,14 +104,14 @@ def _occurrences(text: str | None, base: list[tuple[int, int, int]]) -> list[tup
             at += 1
         if 5 <= b - a <= 64 and not any(x[0] < b and a < x[2] for x in base[at : at + 8]):
             spans.append((a, b, None))
-    return [(a, b, text[a:b], _shape(text[a:b]) + "<" + _neighbour(text, a - 40, a, True), _shape(text[a:b]) + ">" + _neighbour(text, b, b + 40, False), k) for a, b, k in spans]
+    return [(a, b, text[a:b], _contexts(text, a - 60, a, text[a:b], True), _contexts(text, b, b + 60, text[a:b], False), k) for a, b, k in spans]
 
 
 def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_OCC = "array<struct<begin:long,end:long,instance:string,before:string,after:string,kind:string>>"
+_OCC = "array<struct<begin:long,end:long,instance:string,before:array<string>,after:array<string>,kind:string>>"
 
 
 def scan(documents: DataFrame) -> DataFrame:
@@ -126,30 +133,39 @@ def scan(documents: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, occurrences {_OCC}")
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = 3, worth: float = 0.9, seeds: int = 5) -> DataFrame:
+def bootstrap(occurrences: DataFrame, rounds: int = 3, worth: float = 0.9, seeds: int = 5, trusted: float = 0.8) -> DataFrame:
     """(pattern, kind) of high worth from occurrences (instance, before, after, kind).
 
     ``kind`` is null where the instance is no seed.  A pattern's worth for a
-    kind is the trusted weight on it by its whole weight plus one; an instance
-    that is no seed is worth the mean of its patterns.  Patterns need ``seeds``
-    different seeds.  Counts are over all occurrences.
+    kind is the trusted weight on it by its whole weight plus one; patterns
+    need ``seeds`` different trusted instances.  The trust of an instance that
+    is no seed is the worth of the best good pattern at each of its
+    occurrences, none counting 0, averaged over them all; from ``trusted`` on
+    it supports patterns as seeds do.  Counts are over all occurrences.
     """
-    pairs = occurrences.select("instance", "kind", F.explode(F.array("before", "after")).alias("pattern"))
-    graph = table(pairs.groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n")), "graph")
+    seen = table(occurrences.select("instance", "kind", F.concat("before", "after").alias("patterns")).groupBy("instance", "kind", "patterns").agg(F.count("*").alias("n")), "occurrences")
+    edges = seen.select("instance", "kind", "n", F.explode("patterns").alias("pattern"))
+    graph = table(edges.groupBy("pattern", "instance", "kind").agg(F.sum("n").alias("n")), "graph")
     whole = graph.groupBy("pattern").agg(F.sum("n").alias("whole"))
-    seeded = graph.filter("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds"), F.sum("n").alias("sure")).filter(F.col("seeds") >= seeds)
-    seeded = table(seeded.join(whole, "pattern"), "seeded")
-    patterns = seeded.select("pattern", "kind", (F.col("sure") / (F.col("whole") + 1)).alias("worth"))
-    # Only instances that a supported pattern meets can gain any trust.
-    open_ = graph.filter("kind is null").drop("kind")
+    sure = table(graph.filter("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").cast("double").alias("mass")), "sure")
+    places = seen.filter("kind is null").select("instance", "n", "patterns", F.xxhash64("patterns").alias("place"))
+    total = places.groupBy("instance").agg(F.sum("n").alias("total"))
+
+    def good(got: DataFrame) -> DataFrame:
+        """Only patterns with enough support meet the counts of all."""
+        scored = got.filter(F.col("support") >= seeds).join(whole, "pattern")
+        return scored.select("pattern", "kind", (F.col("mass") / (F.col("whole") + 1)).alias("worth")).filter(F.col("worth") >= worth)
+
+    patterns = table(good(sure), "patterns")
     for r in range(rounds):
-        patterns = table(patterns, f"patterns{r}")
-        met = open_.join(patterns, "pattern")
-        trust = met.groupBy("instance", "kind").agg((F.sum(F.col("n") * F.col("worth")) / F.sum("n")).alias("trust"))
-        gained = met.join(trust, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("trust")).alias("gain"))
-        patterns = seeded.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("sure") + F.coalesce("gain", F.lit(0.0))) / (F.col("whole") + 1)).alias("worth"))
+        met = places.select("instance", "place", "n", F.explode("patterns").alias("pattern")).join(patterns, "pattern")
+        gain = met.groupBy("instance", "place", "kind").agg(F.max(F.col("n") * F.col("worth")).alias("gain")).groupBy("instance", "kind").agg(F.sum("gain").alias("gain"))
+        trust = gain.join(total, "instance").select("instance", "kind", (F.col("gain") / F.col("total")).alias("trust")).filter(F.col("trust") >= trusted)
+        gained = graph.filter("kind is null").drop("kind").join(trust, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").cast("double").alias("mass"))
+        both = sure.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("support").alias("support"), F.sum("mass").alias("mass"))
+        patterns = table(good(both), f"patterns{r}")
     best = Window.partitionBy("pattern").orderBy(F.desc("worth"), "kind")
-    return patterns.filter(F.col("worth") >= worth).withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("pattern", "kind")
+    return patterns.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("pattern", "kind")
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
@@ -163,7 +179,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     found = table(scan(documents).withColumn("row", F.monotonically_increasing_id()), "pii")
     each = found.select("row", F.explode("occurrences").alias("o")).select("row", "o.*")
     patterns = bootstrap(each)
-    free = each.filter("kind is null").drop("kind").select("*", F.explode(F.array("before", "after")).alias("pattern"))
+    free = each.filter("kind is null").drop("kind").select("*", F.explode(F.concat("before", "after")).alias("pattern"))
     added = free.join(patterns, "pattern").groupBy("row", "begin", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("begin", F.lit(len(KINDS)).alias("k"), F.concat_ws(":", F.concat(F.lit("ctx_"), "kind"), "begin", "end").alias("s"))).alias("added"))
     kind = F.array(*map(F.lit, KINDS))
     base = F.transform(

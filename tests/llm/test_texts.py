@@ -71,6 +71,20 @@ def test_contexts_find_unseen_identifiers(spark):
     assert again.filter("kind = 'email'").count() >= 1
 
 
+def test_contexts_find_other_shapes_in_rounds(spark):
+    phones = [f"please call me at +1 415 555 01{i:02d} today" for i in range(40)] * 50
+    mails = [f"you should mail user{i}@site{i}.example.com soon" for i in range(40)]
+    planted = ["please call me at 415-555-0123 today", "you should mail john@intranet soon"]
+    # Trusted by the first context, these support a second one where no seed stands.
+    chain = [f"please call me at 415-555-9{i:03d}" for i in range(20)] * 8 + [f"voicemail box 415-555-9{i:03d} beeps" for i in range(20)] + ["voicemail box 212-777-1234 beeps"]
+    plain = ["item 12345 sold", "in the year 20191 nothing"]
+    texts = [*phones, *mails, *planted, *chain, *plain]
+    got = [r["spans"] for r in pii.find_personal_data(table(spark, texts)).orderBy("doc_id").collect()]
+    at = dict(zip(texts, got, strict=True))
+    assert at[planted[0]] == "ctx_phone:18:30" and at[planted[1]] == "ctx_email:16:29"
+    assert at[chain[-1]].startswith("ctx_phone:14:26") and at[plain[0]] == at[plain[1]] == ""
+
+
 def test_odd_personal_data(spark):
     got = pii.find_personal_data(odd(spark)).collect()
     assert len(got) == 9 and all(r["spans"] == "" for r in got)
