@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from halyard.llm.decontaminate import clean
-from halyard.llm.lines import WIDE, dedup_lines
+from halyard.llm.lines import dedup_lines
 from halyard.llm.minhash import one_of_each
 from halyard.llm.packing import pack
 from halyard.llm.quality import keep_good
-from halyard.llm.shared import table
+from halyard.llm.shared import free, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,8 +25,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that loses all its lines goes."""
-    out = dedup_lines(docs, bits=WIDE)
-    return out.filter("n_removed_lines = 0 or trim(text) != ''").select(*docs.columns)
+    (removed,) = free(docs.columns, "n_removed_lines")
+    out = dedup_lines(docs, removed=removed)
+    return out.filter((F.col(removed) == 0) | (F.trim("text") != "")).drop(removed)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

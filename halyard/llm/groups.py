@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import cut, drop
+from halyard.llm.shared import MOST_HOT, cut, drop, join_hot, table
 
 
 class UnionFind:
@@ -42,7 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Distributed union-find: large-star and small-star steps in turn until
     nothing moves; every step is a shuffle by node, written to the shared
-    folder, so that no set of links ever meets in one place.  Loops and
+    folder, so that no set of links ever meets in one place.  The links of a
+    node with very many are joined where they are (join_hot).  Loops and
     repeated links are allowed; nulls are dropped; no links give no rows.
     """
     spark = edges.sparkSession
@@ -53,11 +54,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(e)
     while before[0]:
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_hot(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large, mid = cut(large, "large")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))).distinct()
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, least, "hi", "n").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))).distinct()
         small, new = cut(small, "small")
         drop(spark, mid)
         drop(spark, at)
@@ -105,20 +106,39 @@ def _join(parts: list[Group]) -> Group:
     return parts[0] if len(parts) == 1 else {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
 
 
-def compare_in_blocks(members: DataFrame, links: Callable[[Group], Iterator[tuple[int, int]]], block: int, weight: Column | None = None, most: int = 1) -> DataFrame:
+def key_sizes(members: DataFrame, weight: Column | None = None) -> DataFrame:
+    """(key, rows, weight) of the keys that occur more than once, counted where they are before they are shuffled; written."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("rows"), (F.sum(weight) if weight is not None else F.lit(0)).cast("long").alias("weight"))
+    return table(sizes.filter("rows > 1"), "keys")
+
+
+def compare_in_blocks(members: DataFrame, links: Callable[[Group], Iterator[tuple[int, int]]], block: int, weight: Column | None = None, most: int = 1, sizes: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that ``links`` finds among the members (key, id, ...) of each key, as a forest.
 
-    A key of up to ``block`` members and ``most`` weight is one group.  A
-    larger one is dealt by a hash of the id into blocks, and every pair of its
-    blocks is a group, so no task holds more than two blocks; all pairs are
-    looked at, none is dropped.  ``links`` gets the rows of a group and returns
-    pairs of row positions that connect what belongs together.
+    A key of up to ``block`` members and ``most`` weight is one group, met by
+    a shuffle on the key.  A larger one is never shuffled by its key: its rows
+    are told so by a broadcast (such keys are few, at most rows / block; their
+    number is checked), are dealt by a hash of the id into blocks, and every
+    pair of blocks is a group, so no task holds more than two blocks.  All
+    pairs are looked at, none is dropped.  ``links`` gets the rows of a group
+    and returns pairs of row positions that connect what belongs together.
+    ``sizes`` are the key_sizes of members, where the caller has them.
     """
-    size = members.groupBy("key").agg(F.count("*").alias("_n"), (F.sum(weight) if weight is not None else F.lit(0)).alias("_w")).filter("_n > 1").select("key", F.greatest(F.ceil(F.col("_n") / block), F.ceil(F.col("_w") / most), F.lit(1)).cast("int").alias("_b"))
-    rows = members.join(size, "key").withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int"))
-    dealt = rows.withColumn("_j", F.explode(F.when(F.col("_b") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_b") - 1))))
-    dealt = dealt.withColumn("_x", F.least("_i", "_j")).withColumn("_y", F.greatest("_i", "_j")).drop("_i", "_j", "_b")
-    sorted_ = dealt.repartition("key", "_x", "_y").sortWithinPartitions("key", "_x", "_y")
+    sizes = key_sizes(members, weight) if sizes is None else sizes
+    blocks = F.greatest(F.ceil(F.col("rows") / block), F.ceil(F.col("weight") / most) if weight is not None else F.lit(1), F.lit(1)).cast("int")
+    hot = sizes.select("key", blocks.alias("_b")).filter("_b > 1")
+    n_hot = hot.limit(MOST_HOT + 1).count()
+    cold = members
+    if n_hot:
+        cold = members.join(F.broadcast(hot.select("key")) if n_hot <= MOST_HOT else hot.select("key"), "key", "left_anti")
+    # The window asks for all rows of a key in one task, which a skew join would not.
+    cold = cold.withColumn("_c", F.count("*").over(Window.partitionBy("key"))).filter("_c > 1").drop("_c").withColumns({"_x": F.lit(0), "_y": F.lit(0)})
+    sorted_ = cold.sortWithinPartitions("key")
+    if n_hot:
+        rows = members.join(F.broadcast(hot) if n_hot <= MOST_HOT else hot, "key").withColumn("_i", F.pmod(F.xxhash64("id"), F.col("_b")).cast("int"))
+        dealt = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+        dealt = dealt.withColumn("_x", F.least("_i", "_j")).withColumn("_y", F.greatest("_i", "_j")).drop("_i", "_j", "_b")
+        sorted_ = sorted_.unionByName(dealt.repartition("key", "_x", "_y").sortWithinPartitions("key", "_x", "_y"))
     id_type = members.schema["id"].dataType.simpleString()
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,8 +153,3 @@ def compare_in_blocks(members: DataFrame, links: Callable[[Group], Iterator[tupl
         yield pd.DataFrame(out, columns=["a", "b"])
 
     return sorted_.mapInPandas(run, f"a {id_type}, b {id_type}")
-
-
-def shared_keys(rows: DataFrame) -> DataFrame:
-    """The rows (key, ...) whose key occurs more than once."""
-    return rows.withColumn("_c", F.count("*").over(Window.partitionBy("key"))).filter("_c > 1").drop("_c")

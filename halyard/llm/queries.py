@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from halyard.llm.crossentropy import score_documents
 from halyard.llm.decontaminate import contamination
-from halyard.llm.lines import WIDE, dedup_lines
+from halyard.llm.lines import dedup_lines
 from halyard.llm.minhash import near_duplicates
 from halyard.llm.packing import pack
 from halyard.llm.pii import find_personal_data
@@ -28,7 +28,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-word shingles at 0.85."""
-    return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85).drop("row")
+    return near_duplicates(_read(spark, sf_dir, "documents"), words=3, percent=85).drop("row", "row2")
 
 
 OP1_SQL = f"""
@@ -111,7 +111,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents without their repeated lines."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup_lines(docs, bits=WIDE).select("doc_id", "n_removed_lines", "text")
+    return dedup_lines(docs).select("doc_id", "n_removed_lines", "text")
 
 
 def op9_spots(spark: SparkSession, sf_dir: str) -> DataFrame:

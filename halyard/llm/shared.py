@@ -1,4 +1,4 @@
-"""Tables written to the folder that all machines of a session share."""
+"""Tables written to the folder that all machines of a session share, and filters in front of joins."""
 
 from __future__ import annotations
 
@@ -7,11 +7,12 @@ import contextlib
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halyard.session import ship
@@ -35,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Send the package, and let no Arrow batch to Python be much larger than ``size``: a worker holds few texts at a time."""
+    """Send the package, and let no Arrow batch to Python be much larger than ``size``: a worker holds few texts at a time.
+
+    The setting stays with the session, as results are lazy and run under it.
+    """
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
@@ -75,38 +79,109 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return cut(df, name)[0]
 
 
-def maybe_in(df: DataFrame, key: str, wanted: DataFrame, most_bits: int = 1 << 26) -> DataFrame:
-    """The rows of df whose long ``key`` may be among those of ``wanted``: a Bloom filter before a join.
+def free(names: list[str], *wanted: str) -> list[str]:
+    """Column names like ``wanted`` that a caller's table does not hold, whatever the case of its letters."""
+    taken, out = {n.lower() for n in names}, []
+    for w in wanted:
+        while w.lower() in taken:
+            w = f"_{w}"
+        taken.add(w.lower())
+        out.append(w)
+    return out
+
+
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+class KeyFilter:
+    """A Bloom filter of long keys that tasks read; it never says no to a key that it was built from.
+
+    Its size follows the number of keys up to ``most_bits``.  For more keys
+    than a filter of that size tells apart none is built, and all rows pass.
+    """
 
-    It never loses a row that the join would keep.  Its size follows the
-    number of wanted keys up to ``most_bits``; beyond, it lets more through.
+    def __init__(self, keys: DataFrame, key: str, most_bits: int = 1 << 25):
+        count = keys.count()
+        self.bits = min(most_bits, 1 << max(10, (12 * count).bit_length()))
+        self.sent: Broadcast | None = None
+        if count > most_bits // 2:
+            return
+        bits, places = self.bits, self._places
+
+        def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = np.zeros(bits // 8, np.uint8)
+            for batch in it:
+                for at in places(batch.column(0).to_numpy(zero_copy_only=False)):
+                    np.bitwise_or.at(part, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+            yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], ["part"])
+
+        total = np.zeros(bits // 8, np.uint8)
+        for row in keys.select(F.col(key).alias("k")).coalesce(4).mapInArrow(fill, "part binary").toLocalIterator():
+            total |= np.frombuffer(row["part"], np.uint8)
+        self.sent = keys.sparkSession.sparkContext.broadcast(total.tobytes())
+
+    def _places(self, keys: np.ndarray) -> list[np.ndarray]:
+        k = keys.astype(np.int64, copy=False).view(np.uint64)
+        return [(k * np.uint64(c) >> np.uint64(20)) & np.uint64(self.bits - 1) for c in _ODD]
+
+    def __getstate__(self) -> dict:
+        return {"bits": self.bits, "sent": self.sent}
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        if self.sent is None:
+            return found
+        held = np.frombuffer(self.sent.value, np.uint8)
+        for at in self._places(keys):
+            found &= (held[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return found
+
+    def column(self, key: Column) -> Column:
+        """Whether a long column, not null, may be among the keys."""
+
+        @F.arrow_udf("boolean")
+        def maybe(keys: pa.Array) -> pa.Array:
+            return pa.array(self.may_hold(keys.to_numpy(zero_copy_only=False)))
+
+        return maybe(key)
+
+
+#: A key with more rows than this is hot: its rows are not shuffled to one task.
+HOT = 20_000
+#: So many hot keys are sent out at most.
+MOST_HOT = 200_000
+
+
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` joined with ``per_key`` (key, count, ...) on ``key``, without ``count``.
+
+    ``per_key`` has a row for each key and the number of rows that hold it.
+    The keys of more than HOT rows, few by that, are broadcast, so their rows
+    stay where they are; the others meet by a shuffle.  If there are more than
+    MOST_HOT such keys (over 4e9 rows) the engine's own skew joins serve.
     """
-    count = wanted.count()
-    bits = min(most_bits, 1 << max(10, (16 * count).bit_length()))
-
-    def places(keys: np.ndarray) -> list[np.ndarray]:
-        k = keys.astype(np.int64).view(np.uint64)
-        return [(k * np.uint64(c) >> np.uint64(20)) & np.uint64(bits - 1) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
-
-    def fill(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = np.zeros(bits, bool)
-        for pdf in it:
-            for at in places(pdf["k"].to_numpy()):
-                seen[at] = True
-        yield pd.DataFrame({"part": [np.packbits(seen).tobytes()]})
-
-    total = np.zeros(bits // 8, np.uint8)
-    for row in wanted.select(F.col(key).alias("k")).coalesce(8).mapInPandas(fill, "part binary").toLocalIterator():
-        total |= np.frombuffer(row["part"], np.uint8)
-    sent = df.sparkSession.sparkContext.broadcast(total.tobytes())
-
-    @F.pandas_udf("boolean")
-    def maybe(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen = np.frombuffer(sent.value, np.uint8)
-        for keys in it:
-            found = np.ones(len(keys), bool)
-            for at in places(keys.to_numpy()):
-                found &= (seen[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
-            yield pd.Series(found)
-
-    return df.filter(maybe(key))
+    hot = per_key.filter(F.col(count) > HOT)
+    n = hot.limit(MOST_HOT + 1).count()
+    if not 0 < n <= MOST_HOT:
+        return rows.join(per_key.drop(count), key)
+    sent = F.broadcast(hot.drop(count))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(per_key.filter(F.col(count) <= HOT).drop(count), key)
+    return rows.join(sent, key).unionByName(cold)
+
+
+def map_texts(docs: DataFrame, keep: list[str], make: Callable[[list], list[pa.Array]], made: str) -> DataFrame:
+    """The ``keep`` columns, which Python hands on as they came, and the columns ``made`` that ``make`` builds from the texts of a batch."""
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), made])
+    names = [*keep, *(x.strip().split()[0] for x in _parts(made))]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            kept = [batch.column(i) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*kept, *make(batch.column(len(keep)).to_pylist())], names)
+
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
+def _parts(schema: str) -> list[str]:
+    """The columns of a schema without nested structs."""
+    return schema.split(", ")
