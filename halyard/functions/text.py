@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,7 +84,12 @@ def tokens(text: Column) -> Column:
 
 
 def positions(ids: Column, part: list) -> Column:
-    """All offsets, from 0, at which ``part`` stands in an array."""
+    """All offsets, from 0, at which ``part`` stands in an array; the array is built once, and read once."""
     k = len(part)
-    starts = F.when(F.size(ids) >= k, F.sequence(F.lit(1), F.size(ids) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(F.filter(starts, lambda i: F.slice(ids, i, k) == F.array(*map(F.lit, part))), lambda i: i - 1)
+
+    def starts(t: Column) -> Column:
+        here = F.when(F.size(t) >= k, F.sequence(F.lit(0), F.size(t) - k)).otherwise(F.array().cast("array<int>"))
+        same = lambda i: functools.reduce(lambda a, b: a & b, [F.get(t, i + j) == F.lit(x) for j, x in enumerate(part)])
+        return F.filter(here, same)
+
+    return F.element_at(F.transform(F.array(ids), starts), 1)

@@ -92,7 +92,9 @@ PART = ["of", "the"]
 
 def ngram_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where two tokens stand next to each other."""
-    d = M.read(spark, sf_dir, "documents").select("doc_id", X.positions(X.tokens(F.col("text")), PART).alias("at")).filter("size(at) > 0")
+    # A generated column is computed once, however often it is used.
+    at = F.explode(F.array(X.positions(X.tokens(F.col("text")), PART))).alias("at")
+    d = M.read(spark, sf_dir, "documents").select("doc_id", at).filter("size(at) > 0")
     return d.select("doc_id", F.size("at").cast("long").alias("n"), F.array_join(F.transform("at", lambda i: i.cast("string")), ",").alias("positions"))
 
 

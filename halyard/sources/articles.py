@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import time
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -14,43 +15,67 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from halyard.sources.tables import RECORD
 
 #: Element and attribute names of the archive's replies.
-ARTICLE, BOOK, BOOK_ID = "PubmedArticle", "PubmedBookArticle", "BookDocument/PMID"
-LISTS = {"mesh_major": ".//MeshHeading/DescriptorName", "publication_types": ".//PublicationTypeList/PublicationType", "languages": ".//Language"}
-TEXTS = {"pmid": ".//PMID", "title": ".//ArticleTitle", "journal": ".//Journal/Title"}
-YEAR, LOOSE_DATE, ABSTRACT, MAJOR = ".//JournalIssue/PubDate/Year", ".//JournalIssue/PubDate/MedlineDate", ".//AbstractText", "MajorTopicYN"
+ARTICLE, BOOK = "PubmedArticle", "PubmedBookArticle"
+ID, TITLE, JOURNAL, ABSTRACT = "PMID", "ArticleTitle", "Journal/Title", "AbstractText"
+YEAR, LOOSE_DATE = "JournalIssue/PubDate/Year", "JournalIssue/PubDate/MedlineDate"
+LANGUAGE, TYPE, HEADING, MAJOR = "Language", "PublicationTypeList/PublicationType", "MeshHeading/DescriptorName", "MajorTopicYN"
+BOOK_ID = "BookDocument/PMID"
 
 
-def _flat(node: ET.Element | None) -> str:
-    return "".join(node.itertext()).strip() if node is not None else ""
+class _Fields:
+    """What one item of a reply has said so far; elements are told as they end, with their path and text."""
 
+    #: Path endings whose first text counts, and endings whose texts make a list.
+    FIRST = {ID: "pmid", TITLE: "title", JOURNAL: "journal", YEAR: "issue_year", LOOSE_DATE: "loose_date", BOOK_ID: "book_id"}
+    EACH = {ABSTRACT: "abstract", LANGUAGE: "languages", TYPE: "publication_types", HEADING: "mesh_major"}
 
-def record_of(article: ET.Element) -> dict:
-    """A record; its year is the issue's, else the first four digits of the loose date."""
-    year = article.findtext(YEAR)
-    if year is None:
-        year = "".join(filter(str.isdigit, article.findtext(LOOSE_DATE) or ""))[:4]
-    year = (year or "").strip()
-    out: dict = {name: _flat(article.find(path)) for name, path in TEXTS.items()}
-    out["abstract"] = " ".join(filter(None, map(_flat, article.iterfind(ABSTRACT))))
-    out["year"] = year if year.isdigit() else None
-    for name, path in LISTS.items():
-        nodes = [n for n in article.iterfind(path) if name != "mesh_major" or n.get(MAJOR) == "Y"]
-        out[name] = [t for t in ((n.text or "").strip() for n in nodes) if t]
-    return out
+    def __init__(self):
+        self.first: dict[str, str] = {}
+        self.each: dict[str, list[str]] = {name: [] for name in self.EACH.values()}
+
+    def tell(self, path: list[str], text: str, attributes: dict[str, str]) -> None:
+        for size in (1, 2, 3):
+            ending = "/".join(path[-size:])
+            if name := self.FIRST.get(ending):
+                self.first.setdefault(name, text)
+            if (name := self.EACH.get(ending)) and text and (name != "mesh_major" or attributes.get(MAJOR) == "Y"):
+                self.each[name].append(text)
+
+    def article(self) -> dict:
+        """A record; its year is the issue's, else the first four digits of the loose date."""
+        digits = [c for c in self.first.get("loose_date", "") if c.isdigit()]
+        year = self.first.get("issue_year", "".join(digits[:4]))
+        simple = {name: self.first.get(name, "") for name in ("pmid", "title", "journal")}
+        return simple | self.each | {"abstract": " ".join(self.each["abstract"]), "year": year if year.isdigit() else None}
+
+    def book(self) -> dict:
+        if not self.first.get("book_id"):
+            raise ValueError("book without an id")
+        return {"pmid": self.first["book_id"], "record_type": BOOK, "exclusion": "books are no articles"}
 
 
 def records_of(xml: str) -> Iterator[dict]:
-    """Records of a reply, in order; books carry why they are left out; any other element is an error."""
-    for item in ET.fromstring(xml):
-        if item.tag == ARTICLE:
-            yield record_of(item)
-        elif item.tag == BOOK:
-            pmid = item.findtext(BOOK_ID)
-            if not pmid:
-                raise ValueError("book without an id")
-            yield {"pmid": pmid, "record_type": BOOK, "exclusion": "books are no articles"}
-        else:
-            raise ValueError(f"unexpected element {item.tag}")
+    """Records of a reply, in order; books carry why they are left out; any other element is an error.
+
+    The reply is read once, element by element: an item is dropped as soon as
+    its record is made, so a reply of any length holds one item at a time.
+    """
+    path: list[str] = []
+    fields = _Fields()
+    for event, node in ET.iterparse(io.BytesIO(xml.encode()), events=("start", "end")):
+        if event == "start":
+            path.append(node.tag)
+            if len(path) == 2:
+                if node.tag not in (ARTICLE, BOOK):
+                    raise ValueError(f"unexpected element {node.tag}")
+                fields = _Fields()
+            continue
+        if len(path) > 2:
+            fields.tell(path[2:], "".join(node.itertext()).strip(), node.attrib)
+        elif len(path) == 2:
+            yield fields.article() if node.tag == ARTICLE else fields.book()
+            node.clear()
+        path.pop()
 
 
 def parse_replies(replies: DataFrame, column: str = "xml") -> DataFrame:
@@ -73,12 +98,13 @@ def strip_markup(html):
 
 
 def ids_of(reply: dict) -> list[str]:
-    """Ids of a search reply; an error, a cut, a repeat or nothing is refused."""
+    """Ids of a search reply; an error anywhere in it, a cut, a repeat or nothing is refused."""
     result = reply.get("esearchresult") or {}
-    if result.get("errorlist") or result.get("ERROR") or "idlist" not in result:
-        raise ValueError("search failed")
-    ids = [str(i) for i in result["idlist"]]
-    if not ids or len(set(ids)) != len(ids) or len(ids) != int(result.get("count", -1)):
+    faults = [part[name] for part in (reply, result) for name in part if name.lower() in ("error", "errorlist") and part[name]]
+    if faults or not isinstance(result.get("idlist"), list):
+        raise ValueError(f"search failed: {faults or 'no ids'}")
+    ids = list(map(str, result["idlist"]))
+    if int(result.get("count", -1)) != len(ids) or len(ids) != len(set(ids)) or not ids:
         raise ValueError("search is empty, repeats ids or was cut off")
     return ids
 
