@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.operators.resample import _tau
+from halyard.functions import series as S
 
 
 def _components(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -33,10 +33,12 @@ def pca_summary(centroids: DataFrame, order: str = "year", k: int = 3) -> DataFr
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         scores, _, share = _components(np.array(pdf["centroid"].tolist(), float), k)
         share = [*share.tolist(), *[0.0] * k][:k]
-        return pd.DataFrame([(len(pdf), *share, abs(_tau(scores[:, 0])))])
+        points = [{"x": x, "y": y} for x, y in zip(pdf["_x"].astype(float).tolist(), scores[:, 0].tolist(), strict=True)]
+        return pd.DataFrame([(len(pdf), *share, points)])
 
     names = ", ".join(f"pc{i + 1}_variance double" for i in range(k))
-    return _one_task(centroids, order, run, f"n_bins long, {names}, pc1_tau double")
+    out = _one_task(centroids, order, run, f"n_bins long, {names}, points array<struct<x:double,y:double>>")
+    return out.withColumn("pc1_tau", F.abs(S.kendall(F.col("points")))).drop("points")
 
 
 def pca_scores(centroids: DataFrame, order: str = "year", k: int = 2) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import series as S
-from halyard.functions.pvalues import series_p
+from halyard.operators.corpus import with_ordinal
 
 
 def draw(*parts: Column) -> Column:
@@ -20,29 +20,57 @@ def _replicates(df: DataFrame, count: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(count))))
 
 
+#: Rows of a replicate that one task sorts.
+SORTED = 200_000
+
+
+def _ranked(reps: DataFrame, rows: int) -> DataFrame:
+    """reps (rep, id, d, ...) with k, the place of (d, id) within its replicate, from 0.
+
+    Draws are dealt to ranges of about SORTED rows; a row's place is its place
+    in the range and the sizes of the ranges before, so no task sorts a replicate.
+    """
+    ranges = -(-rows // SORTED) or 1
+    part = F.floor(F.col("d") * ranges / (1 << 32)).cast("int")
+    dealt = reps.withColumn("part", part).withColumn("k", F.row_number().over(Window.partitionBy("rep", "part").orderBy("d", "id")) - 1)
+    if ranges == 1:
+        return dealt.drop("part")
+    before = Window.partitionBy("rep").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = reps.groupBy("rep", part.alias("part")).agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return dealt.join(sizes.drop("n"), ["rep", "part"]).withColumn("k", F.col("k") + F.col("before")).drop("part", "before")
+
+
 def year_shuffle(df: DataFrame, observed: float, replicates: int, floor: int = 5, id: str = "doc_id", value: str = "cos") -> DataFrame:
     """One row (replicates, exceed, p): how often shuffled years give a tau as large.
 
-    Rows are numbered within each replicate by a draw; the row with the k-th
-    draw gets the k-th value.  Each replicate is a partition of its own.
+    Values are numbered once, by id; in each replicate the year with the k-th
+    least draw goes to the k-th value.
     """
-    rows = df.select("year", F.col(value).alias("v"), F.col(id).alias("id"))
-    reps = _replicates(rows, replicates)
-    values = reps.select("rep", "v", F.row_number().over(Window.partitionBy("rep").orderBy("id")).alias("k"))
-    years = reps.select("rep", "year", F.row_number().over(Window.partitionBy("rep").orderBy(draw(F.col("id"), F.col("rep")), "id")).alias("k"))
-    annual = values.join(years, ["rep", "k"]).groupBy("rep", "year").agg(F.avg("v").alias("mean"), F.count("*").alias("n")).filter(F.col("n") >= floor)
+    rows = with_ordinal(df.select("year", F.col(value).alias("v"), F.col(id).alias("id")), "id", name="at")
+    reps = _replicates(rows.select("year", "id"), replicates).withColumn("d", draw(F.col("id"), F.col("rep")))
+    years = _ranked(reps, rows.count()).select("rep", "year", "k")
+    values = rows.select("v", F.col("at").alias("k"))
+    annual = years.join(values, "k").groupBy("rep", "year").agg(F.avg("v").alias("mean"), F.count("*").alias("n")).filter(F.col("n") >= floor)
     taus = annual.groupBy("rep").agg(S.series(F.col("year"), F.col("mean")).alias("p")).select(S.kendall(F.col("p")).alias("tau"))
     exceed = F.count_if(F.abs("tau") >= abs(observed) - 1e-12).cast("long")
     return taus.agg(F.count("*").cast("long").alias("replicates"), exceed.alias("exceed")).withColumn("p", S.add_one_p(F.col("exceed"), F.col("replicates")))
 
 
 def bootstrap_means(df: DataFrame, replicates: int, id: str = "doc_id", value: str = "cos") -> DataFrame:
-    """(rep, year, mean): each bin's rows drawn with replacement, as many as it holds."""
-    w = Window.partitionBy("year")
-    rows = df.select("year", F.col(value).alias("v"), F.row_number().over(w.orderBy(id)).alias("k"), F.count("*").over(w).alias("n"))
-    slots = _replicates(rows.select("year", "k", "n"), replicates)
-    drawn = slots.select("rep", "year", (draw(F.col("year"), F.col("k"), F.col("rep")) % F.col("n") + 1).alias("k"))
-    return drawn.join(rows.select("year", "k", "v"), ["year", "k"]).groupBy("rep", "year").agg(F.avg("v").alias("mean"))
+    """(rep, year, mean): each bin's rows drawn with replacement, as many as it holds.
+
+    Rows are numbered once, in the order of (year, id); a bin is a run of
+    numbers, so its first number and its size, a row a bin, say what its
+    draws stand for.
+    """
+    rows = with_ordinal(df.select("year", F.col(value).alias("v"), F.col(id).alias("id")), "year", "id", name="at")
+    bins = F.broadcast(rows.groupBy("year").agg(F.min("at").alias("first"), F.count("*").alias("n")))
+    slots = _replicates(rows.select("year", "at").join(bins, "year"), replicates)
+    k = F.col("at") - F.col("first") + 1
+    drawn = slots.select("rep", "year", (F.col("first") + draw(F.col("year"), k, F.col("rep")) % F.col("n")).alias("at"))
+    # How often a value was drawn is summed before it meets the value.
+    times = drawn.groupBy("rep", "year", "at").agg(F.count("*").alias("times"))
+    return times.join(rows.select("at", "v"), "at").groupBy("rep", "year").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("mean"))
 
 
 def bootstrap_lines(means: DataFrame) -> DataFrame:
@@ -54,7 +82,7 @@ def bootstrap_lines(means: DataFrame) -> DataFrame:
 
 def same_sign(lines: DataFrame, observed: float) -> DataFrame:
     """One row: the percentage of replicates whose tau has the observed sign."""
-    return lines.agg(F.count("*").cast("long").alias("replicates"), (100.0 * F.count_if(F.signum("tau") == float(np.sign(observed))) / F.count("*")).alias("same_sign_pct"))
+    return lines.agg(F.count("*").cast("long").alias("replicates"), (100.0 * F.count_if(F.signum("tau") == float((observed > 0) - (observed < 0))) / F.count("*")).alias("same_sign_pct"))
 
 
 def tau_range(lines: DataFrame, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -67,47 +95,53 @@ def trend_band(lines: DataFrame, low: float = 0.025, high: float = 0.975) -> Dat
     return at.groupBy("year").agg(F.percentile("v", F.lit(low)).alias("low"), F.percentile("v", F.lit(high)).alias("high"))
 
 
-def phase_surrogate(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """A series with x's mean and power spectrum and random phases; the constant and, for an even length, the last keep theirs."""
-    centre = x.mean()
-    spectrum = np.abs(np.fft.rfft(x - centre)).astype(complex)
-    turn = np.exp(1j * rng.uniform(0, 2 * np.pi, len(spectrum)))
-    fixed = [0, len(spectrum) - 1] if len(x) % 2 == 0 else [0]
-    turn[fixed] = 1
-    return np.fft.irfft(spectrum * turn, len(x)) + centre
+def amplitudes(ys: Column) -> Column:
+    """|sum of y(t) exp(-2 pi i k t / n)| for k = 1 .. n/2, of an array."""
+    n = F.size(ys)
 
+    def part(k: Column, wave) -> Column:
+        terms = F.transform(ys, lambda y, t: y * wave(F.lit(2 * math.pi) * k * t / n))
+        return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
-def _tau(y: np.ndarray) -> float:
-    """Against its own order."""
-    i, j = np.triu_indices(len(y), 1)
-    s = np.sign(y[j] - y[i])
-    n = np.count_nonzero(s)
-    return float(s.sum() / np.sqrt(len(s) * n)) if n else float("nan")
+    return F.transform(F.sequence(F.lit(1), F.floor(n / 2).cast("int")), lambda k: F.hypot(part(k, F.cos), part(k, F.sin)))
 
 
-def phase_null(df: DataFrame, key: str, order: list, x: str = "year", y: str = "mean", replicates: int = 5000, seed: int = 0) -> DataFrame:
-    """(key, n_points, tau, exceed, replicates, p) against phase-randomized surrogates.
+def phase_surrogate(ys: Column, waves: Column, phases: Column) -> Column:
+    """A series with the mean and the amplitudes of ``ys`` and other phases: the sum of its waves.
 
-    ``order`` lists the keys; one generator serves them one after the other, so
-    results depend on that order.  A series is a few dozen points, and all of
-    them, one row each, go to one task: the draws are sequential.
+    The wave that changes sign at every step, of an even length, has phase 0.
     """
-    series_ = df.groupBy(key).agg(S.series(F.col(x), F.col(y)).alias("p")).select(F.lit(0).alias("_one"), key, F.transform("p", lambda q: q["y"]).alias("ys"))
+    n = F.size(ys)
+    mean = F.aggregate(ys, F.lit(0.0), lambda a, y: a + y) / n
+
+    def at(t: Column) -> Column:
+        def wave(amplitude: Column, i: Column) -> Column:
+            k = i + 1
+            last = k * 2 == n
+            turn = F.lit(2 * math.pi) * k * t / n + F.when(last, F.lit(0.0)).otherwise(F.get(phases, i))
+            return amplitude * F.cos(turn) * F.when(last, F.lit(1.0)).otherwise(F.lit(2.0)) / n
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng, out = np.random.default_rng(seed), []
-        held = dict(zip(pdf[key].tolist(), pdf["ys"], strict=True))
-        for k in order:
-            if k not in held or len(held[k]) < 2:
-                continue
-            ys = np.asarray(held[k], float)
-            tau = _tau(ys)
-            exceed = sum(abs(_tau(phase_surrogate(ys, rng))) >= abs(tau) - 1e-12 for _ in range(replicates))
-            out.append((k, len(ys), tau, exceed, replicates, (exceed + 1) / (replicates + 1)))
-        return pd.DataFrame(out, columns=[key, "n_points", "tau", "exceed", "replicates", "p"])
+        return F.aggregate(F.transform(waves, wave), mean, lambda a, w: a + w)
 
-    kind = df.schema[key].dataType.simpleString()
-    return series_.groupBy("_one").applyInPandas(run, f"{key} {kind}, n_points long, tau double, exceed long, replicates long, p double")
+    return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+
+def phase_null(df: DataFrame, keys: list[str], x: str = "year", y: str = "mean", replicates: int = 5000) -> DataFrame:
+    """(keys, n_points, tau, exceed, replicates, p): how often a series with the same spectrum and random phases has a tau as large.
+
+    A series is a few dozen points in one row; its replicates are rows of
+    their own, dealt to all tasks.  Phases are draws of the keys, the wave and
+    the replicate.
+    """
+    g = df.groupBy(*keys).agg(S.series(F.col(x), F.col(y)).alias("p")).filter(F.size("p") >= 2)
+    g = g.withColumn("ys", F.transform("p", lambda q: q["y"])).withColumn("tau", S.kendall(F.col("p"))).withColumn("waves", amplitudes(F.col("ys")))
+    reps = _replicates(g, replicates).repartition(*keys, "rep")
+    phases = F.transform("waves", lambda _, i: draw(*[F.col(k) for k in keys], i + 1, F.col("rep")) * (2 * math.pi / (1 << 32)))
+    made = reps.withColumn("made", phase_surrogate(F.col("ys"), F.col("waves"), phases))
+    points = F.zip_with("p", "made", lambda q, v: F.struct(q["x"].alias("x"), v.alias("y")))
+    far = F.abs(S.kendall(points)) >= F.abs("tau") - 1e-12
+    out = made.select(*keys, F.size("p").cast("long").alias("n_points"), "tau", far.alias("far")).groupBy(*keys, "n_points", "tau").agg(F.count_if("far").cast("long").alias("exceed"), F.count("*").cast("long").alias("replicates"))
+    return out.withColumn("p", S.add_one_p(F.col("exceed"), F.col("replicates")))
 
 
 def sample_per_bin(df: DataFrame, keys: list[str], most: int, id: str = "doc_id", seed: int = 0) -> DataFrame:
@@ -128,5 +162,3 @@ def capped_occurrences(hits: DataFrame, order: list[Column | str], each: int = 2
     w = Window.partitionBy(F.lit(0)).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
     return first.withColumn("_before", F.coalesce(F.sum("kept").over(w), F.lit(0))).filter(F.col("_before") < total).select(id, "kept")
 
-
-__all__ = ["bootstrap_lines", "bootstrap_means", "capped_occurrences", "draw", "phase_null", "phase_surrogate", "same_sign", "sample_per_bin", "series_p", "tau_range", "trend_band", "year_shuffle"]

@@ -107,10 +107,10 @@ ORACLE["ngram_positions"] = f"WITH {_HITS} SELECT doc_id, len(ix)::BIGINT AS n,
 def occurrence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two occurrences a document, until the document that reaches the cap."""
     hits = ngram_positions(spark, sf_dir).select("doc_id", F.col("n").alias("hits"))
-    return B.capped_occurrences(hits, [B.draw(F.col("doc_id"), F.lit(0)), "doc_id"], total=30)
+    return B.capped_occurrences(hits, [B.draw(F.col("doc_id"), F.lit(0)), "doc_id"], total=200)
 
 
 QUERIES["occurrence_cap"] = occurrence_cap
 ORACLE["occurrence_cap"] = f"""WITH {_HITS}, h AS (SELECT doc_id, least(len(ix), 2)::BIGINT AS kept, ('0x' || substr(md5(doc_id::VARCHAR || '-0'), 1, 8))::BIGINT AS o FROM p WHERE len(ix) > 0
 ), b AS (SELECT doc_id, kept, coalesce(sum(kept) OVER (ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM h)
-SELECT doc_id, kept FROM b WHERE before < 30"""
+SELECT doc_id, kept FROM b WHERE before < 200"""

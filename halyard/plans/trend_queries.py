@@ -20,7 +20,8 @@ from halyard.plans.model import r
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-REPLICATES = 20
+#: Replicates of the shuffle, of the bootstrap and of the phase null.
+SHUFFLES, BOOTSTRAPS, PHASES = 1000, 1500, 5000
 
 
 def query(sql: str | None = None):
@@ -168,10 +169,19 @@ def t_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.union(c).withColumn("p_value", P.t_pvalue(F.col("t"), F.col("dof")))
 
 
-@query()
+_PHASE_DRAW = "('0x' || substr(md5(anchor || '-' || k || '-' || rep), 1, 8))::BIGINT * 2 * pi() / 4294967296"
+
+
+@query(f"""WITH {CTE}, a AS (SELECT anchor, year, mean, row_number() OVER (PARTITION BY anchor ORDER BY year) - 1 AS t, count(*) OVER (PARTITION BY anchor) AS n, avg(mean) OVER (PARTITION BY anchor) AS mid FROM annual WHERE anchor < 3
+), k AS (SELECT anchor, n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT anchor, n FROM a)
+), w AS (SELECT anchor, n, k, sqrt(sum(mean * cos(2 * pi() * k * t / n)) ** 2 + sum(mean * sin(2 * pi() * k * t / n)) ** 2) AS w FROM a JOIN k USING (anchor, n) GROUP BY ALL
+), f AS (SELECT anchor, n, k, rep, w, CASE WHEN 2 * k = n THEN 0 ELSE {_PHASE_DRAW} END AS phi, CASE WHEN 2 * k = n THEN 1.0 ELSE 2.0 END / n AS scale FROM w, (SELECT unnest(range(1, {PHASES} + 1)) AS rep)
+), y AS (SELECT anchor, rep, year, any_value(mid) + sum(w * cos(2 * pi() * k * t / n + phi) * scale) AS mean FROM a JOIN f USING (anchor, n) GROUP BY anchor, rep, year
+), t AS ({M.trend_sql('y', ['anchor', 'rep'])}), o AS ({M.trend_sql('a', ['anchor'])})
+SELECT o.anchor::INT AS anchor, o.n_points, {r('o.tau', 'tau')}, count_if(abs(t.tau) >= abs(o.tau) - 1e-12)::BIGINT AS exceed, count(*) AS replicates,
+  {r('(count_if(abs(t.tau) >= abs(o.tau) - 1e-12) + 1) / (count(*) + 1)', 'p')} FROM o JOIN t USING (anchor) GROUP BY o.anchor, o.n_points, o.tau""")
 def phase_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cross = _cross(spark, sf_dir)
-    return B.phase_null(cross, "anchor", list(M.ANCHORS), replicates=500)
+    return rounded(B.phase_null(_cross(spark, sf_dir), ["anchor"], replicates=PHASES), "tau", "p")
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
@@ -181,7 +191,7 @@ def _observed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
 
 
 _DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
-_W = f"{CTE}, {_A0}, w AS (SELECT doc_id, year, cos FROM scored WHERE anchor = 0 AND year BETWEEN 2000 AND 2024), reps AS (SELECT unnest(range(1, {REPLICATES + 1})) AS rep), obs AS ({M.trend_sql('a0', [])})"
+_W = f"{CTE}, {_A0}, w AS (SELECT doc_id, year, cos FROM scored WHERE anchor = 0 AND year BETWEEN 2000 AND 2024), reps AS (SELECT unnest(range(1, {SHUFFLES} + 1)) AS rep), many AS (SELECT unnest(range(1, {BOOTSTRAPS} + 1)) AS rep), obs AS ({M.trend_sql('a0', [])})"
 
 
 @query(f"""WITH {_W}, v AS (SELECT rep, cos, row_number() OVER (PARTITION BY rep ORDER BY doc_id) AS k FROM w, reps
@@ -190,11 +200,11 @@ _W = f"{CTE}, {_A0}, w AS (SELECT doc_id, year, cos FROM scored WHERE anchor = 0
 SELECT count(*) AS replicates, count_if(abs(t.tau) >= abs(obs.tau) - 1e-12)::BIGINT AS exceed, {r('(count_if(abs(t.tau) >= abs(obs.tau) - 1e-12) + 1) / (count(*) + 1)', 'p')} FROM t, obs""")
 def year_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, tau = _observed(spark, sf_dir)
-    return rounded(B.year_shuffle(rows, tau, REPLICATES), "p")
+    return rounded(B.year_shuffle(rows, tau, SHUFFLES), "p")
 
 
 _BOOT = f"""{_W}, i AS (SELECT w.year, cos, row_number() OVER (PARTITION BY w.year ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY w.year) AS n FROM w JOIN a0 USING (year)
-), d AS (SELECT rep, year, {_DRAW.format("year::VARCHAR || '-' || k || '-' || rep")} % n + 1 AS k FROM i, reps
+), d AS (SELECT rep, year, {_DRAW.format("year::VARCHAR || '-' || k || '-' || rep")} % n + 1 AS k FROM i, many AS reps
 ), m AS (SELECT rep, year, avg(cos) AS mean FROM d JOIN i USING (year, k) GROUP BY rep, year), t AS ({M.trend_sql('m', ['rep'])}
 ), mid AS (SELECT rep, median(mean) AS my, median(year) AS mx FROM m GROUP BY rep)"""
 
@@ -202,7 +212,7 @@ _BOOT = f"""{_W}, i AS (SELECT w.year, cos, row_number() OVER (PARTITION BY w.ye
 def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
     rows, tau = _observed(spark, sf_dir)
     years = A.annual_series(rows, []).select("year")
-    return B.bootstrap_lines(B.bootstrap_means(rows.join(years, "year", "left_semi"), REPLICATES)), tau
+    return B.bootstrap_lines(B.bootstrap_means(rows.join(years, "year", "left_semi"), BOOTSTRAPS)), tau
 
 
 @query(f"WITH {_BOOT} SELECT count(*) AS replicates, {r('100.0 * count_if(sign(t.tau) = sign(obs.tau)) / count(*)', 'same_sign_pct')} FROM t, obs")
@@ -233,10 +243,10 @@ def trend_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH d AS (SELECT doc_id, source FROM documents WHERE lang = 'en'), k AS (
-  SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_DRAW.format("doc_id::VARCHAR || '-0'")}, doc_id) AS k FROM d) SELECT doc_id, source FROM k WHERE k <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY {_DRAW.format("doc_id::VARCHAR || '-0'")}, doc_id) AS k FROM d) SELECT doc_id, source FROM k WHERE k <= 40""")
 def sample_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = M.read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "source")
-    return B.sample_per_bin(d, ["source"], 10)
+    return B.sample_per_bin(d, ["source"], 40)
 
 
 @query(f"""WITH {_DAILY}, w AS (
