@@ -1,11 +1,16 @@
 """Cross-entropy difference of documents under a target and a background model.
 
-Both are interpolated bigram models over one vocabulary and one inventory of
-bigrams, so their per-token losses differ by what they were trained on alone.
-The background is the whole corpus, the target the documents labelled as good.
+Both are interpolated bigram models over one vocabulary, so their per-token
+losses differ by what they were trained on alone.  The background is the whole
+corpus, the target the documents labelled as good.  A document's own bigrams
+are left out of the counts that score it, so a text is never its own evidence;
+a bigram that occurs once in the corpus is therefore none for anybody.
+
 Counts are over all documents: each task adds up its own, one shuffle adds up
-those.  What is sent to the executors is bounded by the sizes of the vocabulary
-and of the inventory, whatever the corpus.
+those.  Every bigram that occurs twice is in the inventory, a table that grows
+with the corpus.  Its most frequent rows are sent to the tasks, where they
+serve most tokens; the others meet the documents' bigrams in a shuffle.  Sums
+of losses are what is added up, so both ways give the same scores.
 """
 
 from __future__ import annotations
@@ -13,15 +18,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
-from halyard.llm.shared import bounded_batches, table
+from halyard.llm.shared import KeyFilter, bounded_batches, table
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BATCH = 2_000_000
+_START = np.array([1], np.uint64)
+#: Words with a smaller share of all tokens are one unknown word: at most 1 / SHARE words have a number, in a corpus of any size.
+SHARE = 5e-6
 
 
 def _words(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -32,7 +40,8 @@ class Vocabulary:
     """Numbers of words; len(self) stands for any other word, len(self) + 1 for a text's beginning."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(np.uint64))
+        self.hashes = hashes
+        self.width = len(hashes) + 2
 
     def __len__(self) -> int:
         return len(self.hashes)
@@ -44,90 +53,81 @@ class Vocabulary:
         at[at == len(self)] = 0
         return np.where(self.hashes[at] == words, at, len(self)).astype(np.int64)
 
-    def pairs(self, words: np.ndarray) -> np.ndarray:
-        """Previous * (len + 2) + current, for each word."""
-        ids = self.ids(words)
-        return np.concatenate(([len(self) + 1], ids[:-1])) * (len(self) + 2) + ids if len(ids) else ids
+    def contexts(self, ids: np.ndarray) -> np.ndarray:
+        """What stands before each word."""
+        return np.concatenate(([len(self) + 1], ids[:-1])) if len(ids) else ids
+
 
+def _tallied(docs: DataFrame, make, names: tuple[str, str, str]) -> DataFrame:
+    """(key, n, n1): occurrences of the keys that ``make`` finds in texts (text, target), of all and of target texts."""
+    schema = ", ".join(f"{x} long" for x in names)
 
-def vocabulary(docs: DataFrame, most: int) -> Vocabulary:
-    """The ``most`` most frequent words of all texts; ties by hash."""
+    def add_up(keys: list[np.ndarray], marks: list[int]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        n1 = np.zeros(len(key), np.int64)
+        if marked := [k for k, mark in zip(keys, marks, strict=True) if mark]:
+            there, times = np.unique(np.concatenate(marked), return_counts=True)
+            n1[np.searchsorted(key, there)] = times
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n1)], list(names))
 
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = make()
+        keys: list[np.ndarray] = []
+        marks: list[int] = []
         size = 0
-        for pdf in it:
-            for words in _words(pdf["text"].tolist()):
-                held.append(words)
+        for batch in it:
+            for words, mark in zip(_words(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
+                keys.append(find(words))
+                marks.append(mark)
                 size += len(words)
                 if size > _BATCH:
-                    yield _tally(np.concatenate(held))
-                    held, size = [], 0
-        if held:
-            yield _tally(np.concatenate(held))
-
-    def _tally(words: np.ndarray) -> pd.DataFrame:
-        h, n = np.unique(words, return_counts=True)
-        return pd.DataFrame({"h": h.view(np.int64), "n": n})
-
-    counts = docs.select("text").mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    best = counts.orderBy(F.desc("n"), "h").limit(most).select("h").toArrow()
-    return Vocabulary(best["h"].to_numpy().astype(np.int64).view(np.uint64))
+                    yield add_up(keys, marks)
+                    keys, marks, size = [], [], 0
+        if size:
+            yield add_up(keys, marks)
 
+    counted = docs.select("text", "target").mapInArrow(run, schema)
+    return counted.groupBy(names[0]).agg(*[F.sum(c).alias(c) for c in names[1:]])
 
-def bigrams(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(pair, n, n1): how often a pair of words occurs in all texts, and in those marked as target."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocab.hashes)
-
-    def count(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        v = Vocabulary(sent.value)
-        held: list[np.ndarray] = []
-        size = 0
-        for pdf in it:
-            for words, mark in zip(_words(pdf["text"].tolist()), pdf["target"].tolist(), strict=True):
-                held.append(v.pairs(words) * 2 + mark)
-                size += len(words)
-                if size > _BATCH:
-                    yield _sum(np.concatenate(held))
-                    held, size = [], 0
-        if held:
-            yield _sum(np.concatenate(held))
 
-    def _sum(x: np.ndarray) -> pd.DataFrame:
-        key, n = np.unique(x, return_counts=True)
-        pair, mark = key >> 1, key & 1
-        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.empty(0, np.intp)
-        return pd.DataFrame({"pair": pair[first], "n": np.add.reduceat(n, first) if len(first) else [], "n1": np.add.reduceat(n * mark, first) if len(first) else []})
+class Unigrams:
+    """Occurrences of each number of a vocabulary in all and in target texts, the texts' beginnings last."""
 
-    return docs.select("text", "target").mapInPandas(count, "pair long, n long, n1 long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+    def __init__(self, vocab: Vocabulary, counts: np.ndarray, strength: float):
+        self.vocab, self.counts = vocab, counts
+        words = counts[:, :-1]
+        #: strength * p(word), add-one smoothed; beginnings follow nothing.
+        self.prior = strength * (words + 1.0) / (words.sum(axis=1, keepdims=True) + words.shape[1])
+        self.strength = strength
 
 
-def _most_frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The rows whose n is at least the least that leaves no more than ``most``; the numbers of rows by n decide."""
-    by_n = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("n")).collect()
-    least, kept = 10_001, 0
-    for row in by_n:
+def unigrams(marked: DataFrame, share: float, strength: float) -> Unigrams:
+    """Words with at least ``share`` of all tokens, at most 1 / share of them; the others count together."""
+    # A text with words also counts its beginning.
+    counts = table(_tallied(marked, lambda: lambda words: np.concatenate((_START, words)) if len(words) else words, ("h", "n", "n1")), "words")
+    start = int(_START[0])
+    sums = lambda rows: [int(x or 0) for x in rows.agg(F.sum("n"), F.sum("n1")).first()]
+    starts, totals = sums(counts.filter(F.col("h") == start)), sums(counts.filter(F.col("h") != start))
+    kept = counts.filter((F.col("n") >= share * totals[0]) & (F.col("h") != start)).toArrow()
+    hashes = kept["h"].to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    rows = []
+    for column, total, begun in zip(("n", "n1"), totals, starts, strict=True):
+        c = kept[column].to_numpy()[order].astype(float)
+        rows.append(np.concatenate((c, [total - c.sum(), begun])))
+    return Unigrams(Vocabulary(hashes[order]), np.array(rows), strength)
+
+
+def _sent_from(inventory: DataFrame, most: int) -> int:
+    """The least n that leaves at most ``most`` rows at or above it, by the numbers of rows with each n."""
+    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024) + F.floor(F.log2(F.col("n") / 1024) * 8).cast("long"))
+    least, kept = None, 0
+    for row in inventory.groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).orderBy(F.desc("level")).collect():  # some 1,400 at most
         kept += row["rows"]
         if kept > most:
             break
         least = row["n"]
-    return counts.filter(F.col("n") >= least)
-
-
-class Model:
-    """Interpolated bigrams: (c(h, w) + k p(w)) / (c(h) + k), over kept bigrams, and add-one unigrams."""
-
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray, words: np.ndarray, strength: float):
-        self.width = len(words)
-        self.unigram = (words + 1.0) / (words.sum() + len(words))
-        self.pairs, self.counts = pairs, counts
-        self.context = np.bincount(pairs // self.width, weights=counts, minlength=self.width) if len(pairs) else np.zeros(self.width)
-        self.strength = strength
-
-    def losses(self, pairs: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        """Bits of each pair's second word; ``at`` and ``hit`` tell where a pair is kept."""
-        c = np.where(hit, self.counts[at], 0.0) if len(self.counts) else 0.0
-        return -np.log2((c + self.strength * self.unigram[pairs % self.width]) / (self.context[pairs // self.width] + self.strength))
+    return 2**62 if least is None else least
 
 
 def _marked(docs: DataFrame, good: DataFrame, most: int = 2_000_000) -> DataFrame:
@@ -136,58 +136,103 @@ def _marked(docs: DataFrame, good: DataFrame, most: int = 2_000_000) -> DataFram
         return docs.join(good.withColumn("target", F.lit(1)), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(0)))
     ids = docs.sparkSession.sparkContext.broadcast(np.sort(good.toArrow()["doc_id"].to_numpy().astype(np.int64)))
 
-    @F.pandas_udf("int")
-    def held(doc_id: pd.Series) -> pd.Series:
-        return doc_id.isin(ids.value).astype("int32")
+    @F.arrow_udf("int")
+    def held(doc_id: pa.Array) -> pa.Array:
+        there = np.isin(doc_id.to_numpy(zero_copy_only=False), ids.value)
+        return pa.array(there.astype(np.int32))
+
+    return docs.withColumn("target", F.when(F.col("doc_id").isNull(), 0).otherwise(held(F.coalesce("doc_id", F.lit(0).cast("long")))))
+
 
-    return docs.withColumn("target", F.when(F.col("doc_id").isNull(), 0).otherwise(held(F.coalesce("doc_id", F.lit(0)))))
+_ROW = "row long, doc_id long, target int, pair long, m int, n_tokens long, target_bits double, background_bits double"
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, words: int = 20_000, most: int = 1_000_000, strength: float = 50.0) -> DataFrame:
+def score_documents(documents: DataFrame, labels: DataFrame, share: float = SHARE, most: int = 1_000_000, strength: float = 50.0) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference) of each row of documents (doc_id, text).
 
     Losses are bits a token; a lower difference, target less background, means
-    more like the documents whose label quality (doc_id, quality) is 1.  Words
-    are runs of letters, digits and other characters beyond ASCII.  Null texts
-    and texts without words have no tokens and null losses.  Repeated rows
-    count as often as they occur; repeated labels once.  Without target rows
-    the target is uniform.  Other columns are not read.
+    more like the documents whose label quality (doc_id, quality) is 1, and a
+    high one a text that the corpus holds elsewhere too.  Words are runs of
+    letters, digits and other characters beyond ASCII.  With c the occurrences
+    in the texts of a model, those of the document itself left out for pairs
+    and contexts, a word w after h costs -log2((c(h, w) + strength * p(w)) /
+    (c(h) + strength)), where p(w) is add-one smoothed over the vocabulary.
+    At most ``most`` pairs are sent to the tasks; the others are joined.
+
+    Null texts and texts without words have no tokens and null losses.
+    Repeated rows count as often as they occur, and score alike; repeated
+    labels count once.  Without target rows the target is uniform.  An empty
+    table gives no rows.  Texts of any length are read whole.  Other columns
+    are not read.
     """
-    bounded_batches(documents.sparkSession)
+    spark = documents.sparkSession
+    bounded_batches(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    vocab = vocabulary(docs, words)
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    marked = _marked(docs, good)
-    counts = table(bigrams(marked, vocab), "bigrams")
-    width = len(vocab) + 2
-    single = counts.groupBy((F.col("pair") % width).alias("w")).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1")).toArrow()  # a row for each word at most
-    totals = np.zeros((2, width))
-    for column, values in enumerate((single["n"], single["n1"])):
-        totals[column, single["w"].to_numpy().astype(int)] = values.to_numpy()
-    # Arrow, since as many rows as objects would not fit beside the driver.
-    kept = _most_frequent(counts, most).toArrow()
-    pair = kept["pair"].to_numpy()
-    order = np.argsort(pair)
-    sent = docs.sparkSession.sparkContext.broadcast((vocab.hashes, pair[order], *(kept[c].to_numpy()[order].astype(float) for c in ("n", "n1")), totals))
-    del kept, pair, order
-
-    @F.pandas_udf("n_tokens long, target_loss double, background_loss double, difference double")
-    def score(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes, pairs, n, n1, totals = sent.value
-        v = Vocabulary(hashes)
-        background, target = Model(pairs, n, totals[0], strength), Model(pairs, n1, totals[1], strength)
-        for texts in it:
-            out = []
-            for w in _words(texts.tolist()):
-                if not len(w):
-                    out.append((0, None, None, None))
-                    continue
-                x = v.pairs(w)
-                at = np.searchsorted(pairs, x)
-                at[at == len(pairs)] = 0
-                hit = pairs[at] == x if len(pairs) else np.zeros(len(x), bool)
-                t, b = target.losses(x, at, hit), background.losses(x, at, hit)
-                out.append((len(w), float(t.mean()), float(b.mean()), float((t - b).mean())))
-            yield pd.DataFrame(out, columns=["n_tokens", "target_loss", "background_loss", "difference"])
-
-    return docs.select("doc_id", score("text").alias("s")).select("doc_id", "s.*")
+    marked = _marked(docs.withColumn("row", F.xxhash64("doc_id", "text")), good)
+    one = unigrams(marked, share, strength)
+    context = spark.sparkContext
+    sent_words = context.broadcast(one)
+
+    def pairs():
+        vocab = sent_words.value.vocab
+
+        def find(words: np.ndarray) -> np.ndarray:
+            ids = vocab.ids(words)
+            return vocab.contexts(ids) * vocab.width + ids
+
+        return find
+
+    inventory = table(_tallied(marked, pairs, ("pair", "n", "n1")).filter("n > 1"), "bigrams")
+    least = _sent_from(inventory, most)
+    kept = inventory.filter(F.col("n") >= least).toArrow()  # Arrow, since as many rows as objects would not fit beside the driver
+    order = np.argsort(kept["pair"].to_numpy())
+    sent = context.broadcast(tuple(kept[c].to_numpy()[order] for c in ("pair", "n", "n1")))
+    rest = inventory.filter(F.col("n") < least)
+    sieve = KeyFilter(rest, "pair", 1 << 26)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, (often, n, n1) = sent_words.value, sent.value
+        for batch in it:
+            held: list[list[np.ndarray]] = []
+            rows = batch.column(0).to_numpy()
+            for index, w in enumerate(_words(batch.column(3).to_pylist())):
+                ids = words.vocab.ids(w)
+                before = words.vocab.contexts(ids)
+                pair, m = np.unique(before * words.vocab.width + ids, return_counts=True)
+                mark = batch.column(2)[index].as_py()
+                h, own = np.unique(before, return_counts=True)
+                # Each token's context; the prior of each word; and what the pairs that were sent add.
+                bits = [float((own * np.log2(c[h] - own * left + words.strength)).sum() - np.log2(p[ids]).sum()) for c, p, left in zip(words.counts, words.prior, (1, mark), strict=True)]
+                at = np.searchsorted(often, pair)
+                at[at == len(often)] = 0
+                hit = often[at] == pair if len(often) else np.zeros(len(pair), bool)
+                found, times, second = at[hit], m[hit], pair[hit] % words.vocab.width
+                for k, (count, left) in enumerate(((n, 1), (n1, mark))):
+                    bits[k] -= float((times * np.log2(1 + (count[found] - times * left) / words.prior[k][second])).sum())
+                missed = np.flatnonzero(~hit)
+                missed = missed[sieve.may_hold(pair[missed])]
+                size = len(missed) + 1
+                nothing = np.zeros(size - 1)
+                # The first row is the document's own; its key is no pair, and another for each document.
+                held.append([np.full(size, index), np.concatenate((rows[index : index + 1] | np.int64(-(2**63)), pair[missed])), np.concatenate(([0], m[missed])), np.concatenate(([len(w)], nothing)), np.concatenate(([bits[1]], nothing)), np.concatenate(([bits[0]], nothing))])
+            if not held:
+                continue
+            index, pair, m, size, target, background = (np.concatenate(x) for x in zip(*held, strict=True))
+            take = pa.array(index)
+            first = pair < 0
+            numbers = [pa.array(pair), pa.array(m.astype(np.int32)), pa.array(size.astype(np.int64), mask=~first), pa.array(target, mask=~first), pa.array(background, mask=~first)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), *numbers], [x.split()[0] for x in _ROW.split(", ")])
+
+    scored = marked.select("row", "doc_id", "target", "text").mapInArrow(run, _ROW)
+    number = one.vocab.width
+    priors = spark.createDataFrame(pa.table({"w": pa.array(np.arange(number - 1)), "prior": one.prior[0], "prior1": one.prior[1]}))
+    rest = rest.withColumn("w", F.col("pair") % number).join(F.broadcast(priors), "w").drop("w")
+    met = scored.join(rest, "pair", "left")
+    gain = lambda n, left, prior: F.coalesce(F.col("m") * F.log2(1 + (F.col(n) - F.col("m") * left) / F.col(prior)), F.lit(0.0))
+    met = met.select("row", "doc_id", "n_tokens", (F.coalesce("target_bits", F.lit(0.0)) - gain("n1", F.col("target"), "prior1")).alias("t"), (F.coalesce("background_bits", F.lit(0.0)) - gain("n", F.lit(1), "prior")).alias("b"))
+    # Rows that repeat have one sum; as many come out as went in.
+    sums = met.groupBy("row", "doc_id").agg(F.count("n_tokens").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
+    tokens = F.nullif(F.col("n_tokens") * F.col("copies"), F.lit(0).cast("long"))
+    out = sums.select("doc_id", "n_tokens", (F.col("t") / tokens).alias("target_loss"), (F.col("b") / tokens).alias("background_loss"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return out.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))

@@ -268,29 +268,54 @@ def test_odd_fingerprints(spark):
 # scores
 
 
-def test_cross_entropy_against_counts(spark):
+@pytest.mark.parametrize(("share", "most"), [(crossentropy.SHARE, 1_000_000), (crossentropy.SHARE, 2000), (1e-3, 0), (2e-4, 300)])
+def test_cross_entropy_against_counts(spark, share, most):
+    """As registered, with most pairs joined, and with most words unknown."""
     docs = {r["doc_id"]: re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(r["text"])) for r in documents(spark).collect()}
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
-    words = len({w for v in docs.values() for w in v}) + 2
+    every = Counter(w for v in docs.values() for w in v)
+    known = {w for w, n in every.items() if n >= share * every.total()}
+    docs = {i: [w if w in known else "?" for w in v] for i, v in docs.items()}
 
-    def model(ids):
+    def counts(ids):
         one, two, start = Counter(), Counter(), Counter()
         for i in ids:
-            for h, w in zip(["", *docs[i]], docs[i], strict=False):
-                one[w] += 1
-                two[h, w] += 1
-                start[h] += 1
-        total = sum(one.values()) + words
-        return lambda h, w: (two[h, w] + 50 * (one[w] + 1) / total) / (start[h] + 50)
-
-    models = model(good), model(docs)
-    for r in crossentropy.score_documents(documents(spark), labels, words=10**6, most=10**7).collect():
-        v = docs[r["doc_id"]]
-        losses = [-sum(math.log2(m(h, w)) for h, w in zip(["", *v], v, strict=False)) / len(v) for m in models]
+            one.update(docs[i])
+            two.update(zip(["", *docs[i]], docs[i], strict=False))
+            start.update(["", *docs[i]] if docs[i] else [])
+        return one, two, start
+
+    models = [(good, counts(good)), (set(docs), counts(docs))]
+    got = {r["doc_id"]: r for r in crossentropy.score_documents(documents(spark), labels, share, most).collect()}
+    for i, v in docs.items():
+        losses = []
+        own, before = Counter(zip(["", *v], v, strict=False)), Counter(["", *v[:-1]])
+        for ids, (one, two, start) in models:
+            out = i in ids
+            p = lambda w: (one[w] + 1) / (one.total() + len(known) + 1)  # noqa: B023, E731
+            c = lambda h, w: (two[h, w] - out * own[h, w] + 50 * p(w)) / (start[h] - out * before[h] + 50)  # noqa: B023, E731
+            losses.append(-sum(math.log2(c(h, w)) for h, w in zip(["", *v], v, strict=False)) / len(v))
+        r = got[i]
         assert [r["n_tokens"], r["target_loss"], r["background_loss"], r["difference"]] == pytest.approx([len(v), *losses, losses[0] - losses[1]])
 
 
+def test_documents_that_occur_elsewhere_stand_out(spark):
+    rng = random.Random(8)
+    pool = ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    texts = [" ".join(rng.choice(pool) for _ in range(60)) for _ in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["difference"] for r in crossentropy.score_documents(table(spark, [*texts, *texts[1:20:2]]), labels).collect()}
+    twice = [got[i] for i in (*range(1, 20, 2), *range(60, 70))]
+    assert min(twice) > max(got[i] for i in range(60) if i % 2 == 0 or i > 20) + 1
+    assert got[1] == pytest.approx(got[60])
+
+
+def test_pairs_are_sent_by_whole_counts(spark):
+    rows = spark.createDataFrame([(i, n, 0) for i, n in enumerate([2] * 50 + [3] * 20 + [50_000] * 5 + [3_000_000] * 4)], "pair long, n long, n1 long")
+    assert [crossentropy._sent_from(rows, most) for most in (0, 3, 4, 8, 9, 28, 29, 100)] == [2**62, 2**62, 3_000_000, 3_000_000, 50_000, 50_000, 3, 2]
+
+
 def test_target_marks_sent_or_joined(spark):
     docs, good = odd(spark).select("doc_id", "text"), spark.createDataFrame([(4,), (5,), (99,)], "doc_id long")
     sent, met = (sorted(str((r["doc_id"], r["target"])) for r in crossentropy._marked(docs, good, most).collect()) for most in (10, 0))
