@@ -17,7 +17,7 @@ import pytest
 from halyard.llm import crossentropy, decontaminate, packing, pii, quality, secrets, spots, tokens, toxicity
 from halyard.llm.queries import QUERIES, SQL
 from tests.compare import oracle, rows
-from tests.llm.helpers import empty, lower, odd, table
+from tests.llm.helpers import empty, groups, lower, odd, table
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -249,7 +249,7 @@ def test_fingerprints_query(spark):
         a, b, c = map(spots.signature_set, (text, edited, following))
         r = got[doc]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        like = lambda x, y: len({*x.tolist()} & {*y.tolist()}) / len({*x.tolist()} | {*y.tolist()})
+        like = lambda x, y: (j := len({*x.tolist()} & {*y.tolist()}) / len({*x.tolist()} | {*y.tolist()})) * (j >= spots.LEAST)
         assert (r["near_edited"], r["near_next"]) == pytest.approx((like(a, b), like(a, c)))
         assert base64.b64decode(r["fingerprint"]) == a.astype("<u4").tobytes()
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.3 > 0.05 > np.mean([r["near_next"] for r in got.values()])
@@ -265,6 +265,76 @@ def test_odd_fingerprints(spark):
     assert spots.likeness(np.array([1, 2]), np.array([1, 2, 3, 4, 5]), 0.5) == 0.0
 
 
+def test_chains_follow_common_words():
+    """The signatures of a sentence, by hand: anchors are common words, chains skip them."""
+    from halyard.llm import hashing
+
+    text = "The river that flows in winter is for boats."
+    words = dict(zip(w := "the river that flows in winter is for boats".split(), next(hashing.word_hashes([" ".join(w)])), strict=True))
+    chains = [(None, "river", "flows"), ("the", "river", "flows"), ("in", "winter", "boats")]
+    want = set()
+    for anchor, *chain in chains:
+        h = np.array([words[anchor] if anchor else 0], np.uint64)
+        for c in chain:
+            h = hashing.mix(h * hashing._STEP[0] + words[c])
+        want.add(int(h[0] >> np.uint64(32)))
+    assert set(spots.signature_set(text).tolist()) == want
+    bare = " ".join(f"x{i}y" for i in range(400))
+    assert 60 < len(spots.signature_set(bare)) < 140  # one word in four, where none is common
+
+
+def test_pruned_likeness():
+    rng = np.random.default_rng(5)
+    for n, m in ((0, 0), (1, 1), (40, 50), (900, 1000), (3000, 400), (5, 2000)):
+        for share in (0.0, 0.3, 0.9, 1.0):
+            pool = rng.permutation(10**6)[: n + m]
+            a, b = np.sort(pool[:n]), np.sort(np.concatenate((pool[: int(share * min(n, m))], pool[n : n + m - int(share * min(n, m))])))
+            union = len(set(a.tolist()) | set(b.tolist()))
+            j = len(set(a.tolist()) & set(b.tolist())) / union if union else 1.0
+            for least in (0.01, 0.5, 0.8):
+                assert spots.likeness(a, b, least) == (pytest.approx(j) if j >= least else 0.0)
+                if j >= least:
+                    assert abs(spots.length_class(n, least) - spots.length_class(m, least)) <= 1
+
+
+def test_alike_documents_against_all_pairs(spark):
+    rng = random.Random(3)
+    pool = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    texts = [None, "", "the", "the a of"]
+    for _ in range(25):
+        base = [rng.choice(pool) if i % 3 else rng.choice(spots.ANCHORS) for i in range(rng.choice([9, 60, 300]))]
+        for edits in (0, 0, 1, 3, 20):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(pool)
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    sets = [spots.signature_set(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) and spots.likeness(sets[i], sets[j], 0.8) >= 0.8]
+    got = {r["doc_id"]: r for r in spots.alike(table(spark, texts)).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == groups(len(texts), links) and len(links) > 30
+    assert [got[i]["n_spots"] for i in range(len(texts))] == list(map(len, sets))
+    assert spots.alike(empty(spark)).count() == 0 and spots.alike(odd(spark)).count() == 9
+
+
+def test_fingerprints_keep_ids_and_columns(spark):
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "the river flows in winter"), (None, "the boats of summer days"), (big, "the river flows in winter")], "doc_id long, text string")
+    got = spots.against_next(docs).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, big, big]
+    kept = spots.fingerprints(docs.selectExpr("*", "1 as _s", "2 as n_spots", "3 as fingerprint"))
+    assert kept.columns == ["doc_id", "text", "_s", "n_spots", "fingerprint", "_n_spots", "_fingerprint"] and kept.first()["n_spots"] == 2
+
+
+def test_parts_join_up(spark, monkeypatch):
+    """As many parts as rows, and rows that repeat at their borders."""
+    texts = ["the river flows in winter and the boats of summer", "a hill is in the fog"] * 2 + ["", None, "the river"]
+    docs = table(spark, texts).union(table(spark, texts[:3])).union(table(spark, texts[:2]))
+    whole = sorted(map(str, spots.against_next(docs).collect()))
+    monkeypatch.setattr(spots, "PART", 1)
+    assert sorted(map(str, spots.against_next(docs).collect())) == whole and len(whole) == 12
+
+
 # scores
 
 
