@@ -112,7 +112,21 @@ def key_sizes(members: DataFrame, weight: Column | None = None) -> DataFrame:
     return table(sizes.filter("rows > 1"), "keys")
 
 
-def compare_in_blocks(members: DataFrame, links: Callable[[Group], Iterator[tuple[int, int]]], block: int, weight: Column | None = None, most: int = 1, sizes: DataFrame | None = None) -> DataFrame:
+Links = Callable[[Iterator[Group]], Iterator[tuple[Group, int, int]]]
+
+
+def one_by_one(links: Callable[[Group], Iterator[tuple[int, int]]]) -> Links:
+    """Links of groups that are looked at one after another; ``links`` returns positions of rows."""
+
+    def run(groups: Iterator[Group]) -> Iterator[tuple[Group, int, int]]:
+        for group in groups:
+            for i, j in links(group):
+                yield group, i, j
+
+    return run
+
+
+def compare_in_blocks(members: DataFrame, links: Links, block: int, weight: Column | None = None, most: int = 1, sizes: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that ``links`` finds among the members (key, id, ...) of each key, as a forest.
 
     A key of up to ``block`` members and ``most`` weight is one group, met by
@@ -143,10 +157,8 @@ def compare_in_blocks(members: DataFrame, links: Callable[[Group], Iterator[tupl
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
-        for group in _runs(it, ["key", "_x", "_y"]):
-            if len(group["id"]) > 1:
-                ids = group["id"]
-                out += [(ids[i], ids[j]) for i, j in links(group)]
+        for group, i, j in links(g for g in _runs(it, ["key", "_x", "_y"]) if len(g["id"]) > 1):
+            out.append((group["id"][i], group["id"][j]))
             if len(out) > 20_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
                 out = []

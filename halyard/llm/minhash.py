@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
-from halyard.llm.groups import Group, UnionFind, compare_in_blocks, components, key_sizes
+from halyard.llm.groups import Group, UnionFind, compare_in_blocks, components, key_sizes, one_by_one
 from halyard.llm.shared import KeyFilter, bounded_batches, free, join_hot, map_texts, table
 
 SLOTS = 256
@@ -227,13 +227,13 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch", "few")]
     classes = table(sets.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("row").alias("own"), *firsts), "classes")
     sizes = key_sizes(classes.select(F.explode("keys").alias("key")))
-    likely = components(compare_in_blocks(_members(classes, sizes), _likely(percent), 2000, sizes=sizes))
+    likely = components(compare_in_blocks(_members(classes, sizes), one_by_one(_likely(percent)), 2000, sizes=sizes))
     likely = table(likely.select(F.col("node").alias("id"), F.col("root").alias("key")), "likely")
     held = table(likely.join(classes.select(F.col("set_id").alias("id"), F.col("own").alias("row")), "id"), "held")
     # Only texts that stand for a class are shuffled, by a key that few rows share.
     found = docs.select("row", "text").filter(KeyFilter(held, "row").column(F.col("row"))).join(held, "row").select("key", "id", "text")
     texts = table(_with_set(found, words), "neighbours")
-    links = compare_in_blocks(texts, _confirmed(words, percent), 1000, F.length("text"), 8_000_000)
+    links = compare_in_blocks(texts, one_by_one(_confirmed(words, percent)), 1000, F.length("text"), 8_000_000)
     roots = components(links).select(F.col("node").alias("set_id"), "root")
     joined = classes.select("set_id", "least").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     joined = table(joined, "joined")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing, lines, minhash
-from halyard.llm.groups import compare_in_blocks, components
+from halyard.llm.groups import compare_in_blocks, components, one_by_one
 from tests.compare import oracle, rows
 from tests.llm.helpers import empty, groups, odd, shingle_set, table
 
@@ -119,7 +119,7 @@ def test_blocks_look_at_every_pair(spark):
     members = spark.range(60).select(F.lit(1).alias("key"), F.col("id"))
     every = lambda g: ((i, j) for i in range(len(g["id"])) for j in range(i))
     for block in (7, 100):
-        pairs = {tuple(sorted(r)) for r in compare_in_blocks(members, every, block).collect() if r["a"] != r["b"]}
+        pairs = {tuple(sorted(r)) for r in compare_in_blocks(members, one_by_one(every), block).collect() if r["a"] != r["b"]}
         assert len(pairs) == 60 * 59 // 2
 
 
@@ -148,7 +148,7 @@ def sketch(kinds):
 
 
 def test_sketches_do_not_depend_on_the_batch():
-    kinds = [lines.normalise(x) for t in line_texts() for x in t.split("\n") if lines.normalise(x)] + ["é word " * 30_000] * 0
+    kinds = [n for t in line_texts() for n in lines.normalised(t) if n]
     keys, sim = sketch(kinds)
     for i in range(0, len(kinds), 17):
         one, two = sketch(kinds[i : i + 1])
@@ -157,7 +157,7 @@ def test_sketches_do_not_depend_on_the_batch():
 
 def test_edit_distance_of_long_texts():
     rng = random.Random(4)
-    for n in (1600, 2500):
+    for n in (1600, 6500):
         a = "".join(rng.choice("abcdefgh ") for _ in range(n))
         for edits in (0, 3, n // 30, n // 9):
             b = list(a)
@@ -173,6 +173,30 @@ def test_edit_distance_of_long_texts():
     assert lines.similar(long, "x" + long[:-3] + "yz", 90) and not lines.similar(long, long[::-1], 90)
 
 
+def test_similar_is_the_edit_rule():
+    rng, missed, linked = random.Random(11), 0, 0
+    for _ in range(400):
+        a = "".join(rng.choice("abcdef ") for _ in range(rng.choice([5, 30, 90, 200])))
+        b = list(a)
+        for _ in range(rng.randint(0, len(a) // 8 + 1)):
+            at = rng.randrange(len(b))
+            b[at : at + rng.choice([0, 1, 1, 6])] = rng.choice(["", "x", "yy", "abc de"])
+            b = b or ["z"]
+        b = "".join(b)
+        longer = max(len(a), len(b))
+        for percent in (80, 90):
+            distance = levenshtein(a, b)
+            assert lines.edit_distance(a, b, longer) == distance
+            aligned = lines._aligned(a, b, longer)
+            assert aligned is None or aligned >= distance
+            want = 100 * (longer - distance) >= percent * longer
+            got = lines.similar(a, b, percent)
+            assert got <= want
+            missed += want and not got
+            linked += want
+    assert missed <= linked / 100  # where an alignment breaks up long common runs
+
+
 def line_texts():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
@@ -189,7 +213,7 @@ def line_texts():
 
 def test_lines_against_all_pairs(spark):
     texts = line_texts()
-    all_ = [(d, i, n) for d, t in enumerate(texts) for i, x in enumerate(t.split("\n")) if (n := lines.normalise(x))]
+    all_ = [(d, i, n) for d, t in enumerate(texts) for i, n in enumerate(lines.normalised(t)) if n]
     kinds = sorted({n for *_, n in all_})
     links, alike = [], 0
     keys, sim = sketch(kinds)
