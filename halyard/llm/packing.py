@@ -12,14 +12,13 @@ keys.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import bounded_batches, table
+from halyard.llm.shared import bounded_batches, map_texts, table
 from halyard.llm.tokens import tokenizer
 
 
@@ -60,19 +59,18 @@ def first_fit_decreasing(lengths: list[int], size: int) -> list[tuple[int, int]]
 def tokenised(documents: DataFrame, path: str, end_id: int, size: int) -> DataFrame:
     """(doc_id, doc_tokens, crcs): the number of ids with the end id, and the crc32 of each cut."""
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(texts: list[str | None]) -> list[pa.Array]:
         tok, last = tokenizer(path), int(end_id).to_bytes(4, "little")
-        for pdf in it:
-            n, crcs = [], []
-            for text in pdf["text"].tolist():
-                ids = tok.ids(text) + last
-                n.append(len(ids) // 4)
-                crcs.append([zlib.crc32(ids[i : i + 4 * size]) for i in range(0, len(ids), 4 * size)])
-            yield pdf[["doc_id"]].assign(doc_tokens=n, crcs=crcs)
+        n, crcs = [], []
+        for text in texts:
+            ids = tok.ids(text) + last
+            n.append(len(ids) // 4)
+            crcs.append([zlib.crc32(ids[i : i + 4 * size]) for i in range(0, len(ids), 4 * size)])
+        return [pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]
 
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInPandas(run, "doc_id long, doc_tokens long, crcs array<long>")
+    return map_texts(docs, ["doc_id"], make, "doc_tokens long, crcs array<long>")
 
 
 def pack(documents: DataFrame, path: str, size: int = 2048, end_id: int = 1, group: int = 4096, seed: int = 0) -> DataFrame:
@@ -80,7 +78,8 @@ def pack(documents: DataFrame, path: str, size: int = 2048, end_id: int = 1, gro
 
     ``path`` names the tokenizer's file.  Null and empty texts have the end id
     alone.  Repeated rows, also of one doc_id, are each packed; a null doc_id
-    stays null.  Ties go by the order within a group.  An empty table gives no
+    stays null.  Ties go by the order within a group.  Texts of any length are
+    tokenised whole.  An empty table gives no
     pieces.  Sequence ids are distinct over all groups.  Other columns are not
     read.
     """
@@ -89,16 +88,16 @@ def pack(documents: DataFrame, path: str, size: int = 2048, end_id: int = 1, gro
     lengths = table(lengths.withColumn("draw", F.xxhash64(F.monotonically_increasing_id(), F.lit(seed))), "tokenised")
     groups = max(1, -(-lengths.count() // group))
 
-    def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("draw", kind="stable")
-        tokens = pdf["doc_tokens"].to_numpy()
+    def fill(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows["draw"].to_numpy(), kind="stable")))
+        tokens = rows["doc_tokens"].to_numpy()
         rest = tokens % size
         packed = np.flatnonzero(rest)
         places = first_fit_decreasing(rest[packed].tolist(), size)
         bins = 1 + max((b for b, _ in places), default=-1)
         place = dict(zip(packed.tolist(), places, strict=True))
         out: list[tuple] = []
-        for i, (doc, n, crcs) in enumerate(zip(pdf["doc_id"].tolist(), tokens.tolist(), pdf["crcs"], strict=True)):
+        for i, (n, crcs) in enumerate(zip(tokens.tolist(), rows["crcs"].to_pylist(), strict=True)):
             for j, crc in enumerate(crcs):
                 start = j * size
                 length = min(size, n - start)
@@ -106,10 +105,10 @@ def pack(documents: DataFrame, path: str, size: int = 2048, end_id: int = 1, gro
                     seq, offset, bins = bins, 0, bins + 1
                 else:
                     seq, offset = place[i]
-                out.append((doc, start, length, int(crc), n, seq, offset))
-        frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-        frame["sequence_id"] += int(key[0]) << 40
-        return frame
+                out.append((i, start, length, crc, n, seq, offset))
+        index, *columns = (np.array(c, np.int64) for c in zip(*out, strict=True))
+        columns[4] += rows["bin_group"][0].as_py() << 40
+        return pa.table([rows["doc_id"].take(pa.array(index)), *columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     dealt = lengths.withColumn("bin_group", F.pmod("draw", F.lit(groups)))
-    return dealt.groupBy("bin_group").applyInPandas(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.groupBy("bin_group").applyInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -17,11 +17,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import bounded_batches, table
+from halyard.llm.shared import bounded_batches, map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -111,26 +111,31 @@ def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
     return ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
 
 
+_FIELDS = ("begin", "end", "instance", "before", "after", "kind")
 _OCC = "array<struct<begin:long,end:long,instance:string,before:array<string>,after:array<string>,kind:string>>"
 
 
+_SCANNED = f"n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, occurrences {_OCC}"
+
+
 def scan(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, base_sha256, occurrences) of documents (doc_id, text)."""
-
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for text in pdf["text"].tolist():
-                base = base_spans(text)
-                all_ = joined(base, KINDS)
-                out.append((*(sum(k == i for _, k, _ in base) for i in range(4)), all_, hashlib.sha256(all_.encode()).hexdigest(), _occurrences(text, base)))
-            frame = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "occurrences"])
-            frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield frame
+    """The other columns of documents, and n_email, n_ip, n_card, n_phone, base, base_sha256, occurrences of the texts."""
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        out = []
+        for text in texts:
+            base = base_spans(text)
+            all_ = joined(base, KINDS)
+            found = [dict(zip(_FIELDS, x, strict=True)) for x in _occurrences(text, base)]
+            out.append((*(sum(k == i for _, k, _ in base) for i in range(4)), all_, hashlib.sha256(all_.encode()).hexdigest(), found))
+        lists = pa.list_(pa.string())
+        occurrence = pa.struct(list(zip(_FIELDS, (pa.int64(), pa.int64(), pa.string(), lists, lists, pa.string()), strict=True)))
+        types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.list_(occurrence)]
+        return [pa.array([x[i] for x in out], t) for i, t in enumerate(types)]
 
     bounded_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInPandas(run, f"doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, occurrences {_OCC}")
+    docs = documents.withColumn("text", F.col("text").cast("string"))
+    return map_texts(docs, [c for c in docs.columns if c != "text"], make, _SCANNED, ["n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "occurrences"])
 
 
 def bootstrap(occurrences: DataFrame, rounds: int = 3, worth: float = 0.9, seeds: int = 5, trusted: float = 0.8) -> DataFrame:
@@ -176,7 +181,8 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     that context patterns add.  Null texts are empty and have no spans; rows
     that repeat are each scanned; other columns are not read.
     """
-    found = table(scan(documents).withColumn("row", F.monotonically_increasing_id()), "pii")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = table(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
     each = found.select("row", F.explode("occurrences").alias("o")).select("row", "o.*")
     patterns = bootstrap(each)
     free = each.filter("kind is null").drop("kind").select("*", F.explode(F.concat("before", "after")).alias("pattern"))

@@ -4,8 +4,8 @@ A small lexer reads source and configuration syntax (``name = "x"``,
 ``name: x``, ``name := x``, ``"name" => 'x'``, ``export NAME=x``) into pairs of
 a name and an expression.  Expressions are literals, names, or sums of both;
 names stand for what was last assigned to them, so a constant is followed to
-where it lands.  A literal is scored by the most sensitive name it reaches and
-by how random it looks.
+where it lands, and a sum counts as one value.  A literal is scored by the
+most sensitive name that it reaches and by how random the value there looks.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import bounded_batches
+from halyard.llm.shared import bounded_batches, map_texts
 
 KINDS = ("assign", "access", "hex", "literal")
 
@@ -57,45 +57,57 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def written(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
 def sensitivity(name: str) -> float:
     flat = name.lower().replace("_", "").replace("-", "").replace(".", "")
     return max((w for word, w in SENSITIVE.items() if word in flat), default=0.0)
 
 
-def randomness(literal: str) -> float:
-    """0 to 1: entropy of its characters, its length and the mix of its classes."""
-    n = len(literal)
-    if n < 6:
-        return 0.0
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    classes = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in literal)
-    return min(1.0, bits / 4) * 0.5 + min(1.0, n / 20) * 0.25 + classes / 4 * 0.25
+class Letters:
+    """What is known of a value's characters: how often each occurs."""
+
+    def __init__(self, literals: Iterable[str] = (), values: Iterable[Letters] = ()):
+        self.counts: Counter[str] = Counter()
+        for x in literals:
+            self.counts.update(x)
+        for v in values:
+            self.counts.update(v.counts)
+
+    def randomness(self) -> float:
+        """0 to 1: entropy of the characters, their number and the mix of their classes."""
+        n = self.counts.total()
+        if n < 6:
+            return 0.0
+        bits = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        classes = sum(any(map(f, self.counts)) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in self.counts)
+        return min(1.0, bits / 4) * 0.5 + min(1.0, n / 20) * 0.25 + classes / 4 * 0.25
 
 
-def score(name: str, literal: str) -> float:
-    if _PLACEHOLDER.search(literal) or " " in literal.strip():
-        return 0.0
-    return sensitivity(name) * (0.4 + 0.6 * randomness(literal))
+def plausible(literal: str) -> bool:
+    """No placeholder, and no running text."""
+    return not _PLACEHOLDER.search(literal) and " " not in literal.strip()
 
 
-def assigned_literals(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(name, literal, start, end): each literal with the most sensitive name it is assigned to, also through constants.
+def assigned_literals(text: str) -> Iterator[tuple[str, float, int, int]]:
+    """(name, score, start, end): each literal with the name it reaches, also through constants and sums, that scores it most.
 
-    What is held is one entry for each assignment and term of the text.
+    A name scores what is assigned to it as a whole: its sensitivity, by how
+    random the characters of all parts look together.  What is held is one
+    entry for each assignment and term of the text.
     """
-    known: dict[str, int] = {}
-    made: list[tuple[list[tuple[int, int]], list[int]]] = []
-    best: list[tuple[float, str]] = []
+    last: dict[str, int] = {}
+    made: list[tuple[str, list[tuple[int, int]], list[int]]] = []
     at = 0
     while m := _PAIR.search(text, at):
-        at = m.end()
+        pos = at = m.end()
         spans: list[tuple[int, int]] = []
         uses: list[int] = []
-        pos = at
         while t := _TERM.match(text, pos):
-            quoted = t.lastindex != 4
-            if not quoted and _NAME.fullmatch(t[4]) and t[4] in known:
-                uses.append(known[t[4]])
+            if t.lastindex == 4 and _NAME.fullmatch(t[4]) and t[4] in last:
+                uses.append(last[t[4]])
             elif t[t.lastindex]:
                 spans.append(t.span(t.lastindex))
             pos = t.end()
@@ -103,18 +115,23 @@ def assigned_literals(text: str) -> Iterator[tuple[str, str, int, int]]:
             if not plus:
                 break
             pos = plus.end()
-        if not spans and not uses:
-            continue
-        known[m[1]] = len(made)
-        made.append((spans, uses))
-        best.append((sensitivity(m[1]), m[1]))
-    # Constants are made before they are used, so one pass from the end takes names back to the literals.
+        if spans or uses:
+            last[m[1]] = len(made)
+            made.append((m[1], spans, uses))
+    weights = [sensitivity(name) for name, _, _ in made]
+    if not any(weights):
+        return
+    values: list[Letters] = []
+    for _, spans, uses in made:
+        values.append(Letters([text[a:b] for a, b in spans], [values[u] for u in uses]))
+    best = [(w * (0.4 + 0.6 * v.randomness()) if w else 0.0, name) for w, v, (name, _, _) in zip(weights, values, made, strict=True)]
+    # Constants are made before they are used, so one pass from the end takes scores back to the literals.
     for k in range(len(made) - 1, -1, -1):
-        spans, uses = made[k]
+        _, spans, uses = made[k]
         for u in uses:
             best[u] = max(best[u], best[k])
         for a, b in spans:
-            yield best[k][1], text[a:b], a, b
+            yield best[k][1], best[k][0] if plausible(text[a:b]) else 0.0, a, b
 
 
 def spans_of(text: str | None, least: float = 0.45) -> list[tuple[int, int, int]]:
@@ -122,7 +139,7 @@ def spans_of(text: str | None, least: float = 0.45) -> list[tuple[int, int, int]
     base = base_spans(text)
     if not text or ("=" not in text and ":" not in text):
         return base
-    found = {(a, 3, b) for name, literal, a, b in assigned_literals(text) if score(name, literal) >= least}
+    found = {(a, 3, b) for _, score, a, b in assigned_literals(text) if score >= least}
     return sorted({*base, *found})
 
 
@@ -131,22 +148,20 @@ def find_secrets(documents: DataFrame) -> DataFrame:
 
     Spans are kind:start:end in code points, end exclusive, comma-joined by
     start, then kind as assign, access, hex, literal; a literal's span is its
-    text without quotes.  Null texts are empty and have no spans; rows that
-    repeat are each scanned; other columns are not read.
+    text without quotes; one literal has one span, whatever names it reaches.
+    Null texts are empty and have no spans; rows that repeat are each scanned;
+    an empty table gives no rows; texts, names and literals of any length are
+    read whole; other columns are not read.
     """
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for text in pdf["text"].tolist():
-                spans = spans_of(text)
-                base = [s for s in spans if s[1] < 3]
-                text_of = lambda x: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in x)
-                out.append((*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(text_of(base).encode()).hexdigest(), text_of(spans)))
-            frame = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            frame.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield frame
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        out = []
+        for text in texts:
+            spans = spans_of(text)
+            base = [s for s in spans if s[1] < 3]
+            out.append((*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(written(base).encode()).hexdigest(), written(spans)))
+        return [pa.array([x[i] for x in out], t) for i, t in enumerate([pa.int64()] * 3 + [pa.string()] * 2)]
 
     bounded_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return map_texts(docs, ["doc_id"], make, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

@@ -169,19 +169,17 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataF
     return rows.join(sent, key).unionByName(cold)
 
 
-def map_texts(docs: DataFrame, keep: list[str], make: Callable[[list], list[pa.Array]], made: str) -> DataFrame:
-    """The ``keep`` columns, which Python hands on as they came, and the columns ``made`` that ``make`` builds from the texts of a batch."""
+def map_texts(docs: DataFrame, keep: list[str], make: Callable[[list], list[pa.Array]], made: str, names: list[str] | None = None) -> DataFrame:
+    """The ``keep`` columns, which Python hands on as they came, and the columns ``made`` that ``make`` builds from the texts of a batch.
+
+    ``names`` are those of the columns made, where the schema nests.
+    """
     schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), made])
-    names = [*keep, *(x.strip().split()[0] for x in _parts(made))]
+    all_ = [*keep, *(names or (x.split()[0] for x in made.split(", ")))]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             kept = [batch.column(i) for i in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*kept, *make(batch.column(len(keep)).to_pylist())], names)
+            yield pa.RecordBatch.from_arrays([*kept, *make(batch.column(len(keep)).to_pylist())], all_)
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
-
-
-def _parts(schema: str) -> list[str]:
-    """The columns of a schema without nested structs."""
-    return schema.split(", ")
