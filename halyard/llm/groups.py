@@ -57,8 +57,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_hot(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large, mid = cut(large, "large")
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n"))
-        small = join_hot(large, least, "hi", "n").filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))).distinct()
+        least = table(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")), "per_key")
+        small = join_hot(large, least, "hi", "n", written=True).filter("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(least.select("hi", F.col("m").alias("lo"))).distinct()
         small, new = cut(small, "small")
         drop(spark, mid)
         drop(spark, at)

@@ -241,7 +241,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     component = join_hot(joined.select("set_id", "root"), least, "root", "n").select("set_id", "component_id")
     # A set may be that of a third of all rows: the number of its rows tells.
     rows = sets.filter("set_id is not null").groupBy("set_id").agg(F.count("*").alias("n"))
-    component = table(component.join(rows, "set_id"), "component")
+    component = component.join(rows, "set_id")
     columns = ["doc_id", "n_shingles", "component_id", "row", "row2"]
     full = join_hot(sets.select("doc_id", "n_shingles", "set_id", "row", "row2").filter("set_id is not null"), component, "set_id", "n").select(*columns)
     bare = sets.filter("set_id is null").withColumn("component_id", F.col("doc_id")).select(*columns)

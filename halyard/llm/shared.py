@@ -152,14 +152,16 @@ HOT = 20_000
 MOST_HOT = 200_000
 
 
-def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str) -> DataFrame:
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, written: bool = False) -> DataFrame:
     """``rows`` joined with ``per_key`` (key, count, ...) on ``key``, without ``count``.
 
     ``per_key`` has a row for each key and the number of rows that hold it.
     The keys of more than HOT rows, few by that, are broadcast, so their rows
     stay where they are; the others meet by a shuffle.  If there are more than
     MOST_HOT such keys (over 4e9 rows) the engine's own skew joins serve.
+    per_key is written first, as it is read more than once; or the caller has.
     """
+    per_key = per_key if written else table(per_key, "per_key")
     hot = per_key.filter(F.col(count) > HOT)
     n = hot.limit(MOST_HOT + 1).count()
     if not 0 < n <= MOST_HOT:

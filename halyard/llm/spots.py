@@ -180,7 +180,7 @@ def alike(documents: DataFrame, least: float = 0.8) -> DataFrame:
     grouped = table(classes.select("id", "fingerprint", "rows", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "spot_groups")
     low = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
     fate = join_hot(grouped.select("root", "fingerprint", "rows"), low, "root", "n").select("fingerprint", "rows", "component_id")
-    full = join_hot(found.filter("n_spots > 0"), table(fate, "spot_fate"), "fingerprint", "rows").select("doc_id", "n_spots", "component_id")
+    full = join_hot(found.filter("n_spots > 0"), fate, "fingerprint", "rows").select("doc_id", "n_spots", "component_id")
     return full.union(found.filter("n_spots = 0").select("doc_id", "n_spots", F.col("doc_id").alias("component_id")))
 
 
