@@ -1,15 +1,18 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words are read as classes: insult (a lexicon learned from labelled rows),
-threat, target, negation, report.  Transducers for negation, reported speech
-and target each rewrite the stream of classes; their composition tags every
-insult or threat with its context, the tag scales its weight, and a clause
-weighs what it matched.  A logistic model over the clause weights of a text
-gives the score, so what counts is the clause, not the lone word.
+Five transducers read a clause's words one after the other, each what the one
+before it wrote: insults (from a lexicon learned from labelled rows), threats
+(an agent, a verb of harm and a target, in either order), then negation,
+reported speech and target, which tag the insults and threats that they bear
+on.  Their composition writes every insult or threat with its weight and its
+tags, a tag scales the weight, and a clause weighs what it matched.  A logistic
+model over the clause weights of a text gives the score, so what counts is the
+clause, not the lone word.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -17,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,25 +28,30 @@ from halyard.llm import hashing
 from halyard.llm.fit import LABELLED, labelled_sample, logistic, sigmoid
 from halyard.llm.shared import bounded_batches
 
+# Words of the grammar in English, German, French and Spanish; insults are learned.
 TARGETS = frozenset("you your yours yourself u ur he she they them him her du dich dir ihr euch sie tu toi te vous votre tú usted ustedes ti ellos".split())
 NEGATIONS = frozenset("not no never isn't aren't wasn't don't doesn't without nicht kein keine nie ohne pas jamais ni sin nunca".split())
 REPORTS = frozenset("said says say told tells called calls wrote writes reported quoted according sagte sagt dit disait dijo dice".split())
 THREATS = frozenset("kill murder hurt destroy shoot stab strangle beat burn hang töten umbringen tuer frapper matar golpear".split())
+AGENTS = frozenset("i we i'll we'll i'm ich wir je nous yo nosotros".split())
 
 _CLAUSE = re.compile(r"[.!?;:,\n()]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
+#: A symbol: the word, its kind ("word", "insult" or "threat"), its weight and its tags.
+Symbol = tuple[str, str, float, frozenset]
+
 
 class Transducer:
-    """A deterministic transducer: (state, symbol) -> (state, symbol); a symbol is a class with a set of tags."""
+    """A deterministic transducer: (state, symbol) -> (state, symbol)."""
 
-    def __init__(self, start: int, step):
+    def __init__(self, start, step):
         self.start, self.step = start, step
 
     def then(self, other: Transducer) -> Transducer:
         """The composition: what this one writes, the other reads."""
 
-        def step(state, symbol):
+        def step(state, symbol: Symbol):
             mine, out = self.step(state[0], symbol)
             theirs, out = other.step(state[1], out)
             return (mine, theirs), out
@@ -50,24 +59,53 @@ class Transducer:
         return Transducer((self.start, other.start), step)
 
 
-def _within(cue: str, tag: str, reach: int) -> Transducer:
-    """Tags insults and threats that follow ``cue`` by at most ``reach`` words."""
+def insults(lexicon: Lexicon) -> Transducer:
+    """Words of the lexicon become insults; one that follows another at once is tagged."""
+
+    def step(after: bool, symbol: Symbol):
+        weight = lexicon.weight(symbol[0])
+        if not weight:
+            return False, symbol
+        return True, (symbol[0], "insult", weight, symbol[3] | {"chained"} if after else symbol[3])
+
+    return Transducer(False, step)
+
+
+#: A verb of harm weighs little alone, and the rest once an agent came before it or a target comes after it.
+THREAT_WEIGHT, LONE_THREAT = 2.0, 0.15
+_AGENT_REACH, _TARGET_REACH = 6, 3
+
 
-    def step(state, symbol):
-        kind, tags = symbol
-        if kind == cue:
+def _threat_step(state: tuple[int, int], symbol: Symbol):
+    """The state holds how many words an agent or target, and a lone verb, still reach."""
+    near, verb = state
+    word, kind, _, tags = symbol
+    bears = word in AGENTS or word in TARGETS
+    if kind == "word" and word in THREATS:
+        weight = THREAT_WEIGHT * (1 if near else LONE_THREAT)
+        return (max(0, near - 1), 0 if near else _TARGET_REACH), (word, "threat", weight, tags)
+    if kind == "word" and verb and word in TARGETS:
+        return (_AGENT_REACH, 0), (word, "threat", THREAT_WEIGHT * (1 - LONE_THREAT), tags)
+    return (_AGENT_REACH if bears else max(0, near - 1), max(0, verb - 1)), symbol
+
+
+def _tagging(cues: frozenset, tag: str, reach: int) -> Transducer:
+    """Tags insults and threats that follow one of the cues by at most ``reach`` words."""
+
+    def step(left: int, symbol: Symbol):
+        word, kind, weight, tags = symbol
+        if word in cues and kind == "word":
             return reach, symbol
-        if state and kind in ("insult", "threat"):
-            return state - 1, (kind, tags | {tag})
-        return max(0, state - 1), symbol
+        if left and kind != "word":
+            symbol = (word, kind, weight, tags | {tag})
+        return max(0, left - 1), symbol
 
     return Transducer(0, step)
 
 
-GRAMMAR = _within("negation", "negated", 3).then(_within("report", "reported", 12)).then(_within("target", "targeted", 6))
-#: What a tag does to the weight of its insult or threat; a threat without a target hardly counts.
-SCALE = {"negated": 0.4, "reported": 0.6, "targeted": 1.5}
-THREAT_WEIGHT, LONE_THREAT = 2.0, 0.15
+_CONTEXT = Transducer((0, 0), _threat_step).then(_tagging(NEGATIONS, "negated", 3)).then(_tagging(REPORTS, "reported", 12)).then(_tagging(TARGETS, "targeted", 6))
+#: What a tag does to the weight of its insult or threat.
+SCALE = {"negated": 0.4, "reported": 0.6, "targeted": 1.5, "chained": 1.2}
 
 
 #: Lengths of the stems that may stand in a lexicon, written with a star.
@@ -75,13 +113,20 @@ STEMS = (4, 5, 6)
 
 
 class Lexicon(dict):
-    """Weights of words; a word that is not listed has its longest listed stem's."""
+    """Weights of words; a word that is not listed has its longest listed stem's.  Its grammar is composed once."""
 
     def __init__(self, weights: dict[str, float]):
         super().__init__(weights)
         self.stems = [(k, {w[:-1]: x for w, x in weights.items() if w.endswith("*") and len(w) == k + 1}) for k in sorted(STEMS, reverse=True)]
         self.stems = [(k, table) for k, table in self.stems if table]
 
+    def __reduce__(self):
+        return Lexicon, (dict(self),)
+
+    @functools.cached_property
+    def grammar(self) -> Transducer:
+        return insults(self).then(_CONTEXT)
+
     def weight(self, word: str) -> float:
         found = self.get(word)
         if found is None:
@@ -96,18 +141,15 @@ class Lexicon(dict):
 
 def clause_weight(words: list[str], lexicon: Lexicon) -> tuple[float, int, int]:
     """Weight of a clause, and how many insults and tagged matches it holds."""
-    state, total, insults, tagged = GRAMMAR.start, 0.0, 0, 0
+    grammar = lexicon.grammar
+    state, total, insults_, tagged = grammar.start, 0.0, 0, 0
     for w in words:
-        kind = "insult" if lexicon.weight(w) else "threat" if w in THREATS else "negation" if w in NEGATIONS else "report" if w in REPORTS else "target" if w in TARGETS else "word"
-        state, (kind, tags) = GRAMMAR.step(state, (kind, frozenset()))
-        if kind == "insult" or kind == "threat":
-            weight = lexicon.weight(w) if kind == "insult" else THREAT_WEIGHT * (1 if "targeted" in tags else LONE_THREAT)
-            for t in tags:
-                weight *= SCALE[t]
-            total += weight
-            insults += kind == "insult"
+        state, (_, kind, weight, tags) = grammar.step(state, (w, "word", 0.0, frozenset()))
+        if kind != "word":
+            total += weight * math.prod(SCALE[t] for t in tags)
+            insults_ += kind == "insult"
             tagged += bool(tags)
-    return total, insults, tagged
+    return total, insults_, tagged
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
@@ -134,8 +176,8 @@ def _held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
 
-def learn_lexicon(sample: DataFrame, least: int = 3, evidence: float = 16.0, most: int = 500) -> Lexicon:
-    """Words and stems that mark label 1 in (text, label), with their smoothed log odds: at most ``most``, by likelihood ratio.
+def learn_lexicon(sample: DataFrame, least: int = 3, evidence: float = 16.0) -> Lexicon:
+    """Words and stems that mark label 1 in (text, label), with their smoothed log odds: those of enough likelihood ratio.
 
     Near copies count once: of texts with the same two min-hashes one is read.
     """
@@ -170,7 +212,7 @@ def learn_lexicon(sample: DataFrame, least: int = 3, evidence: float = 16.0, mos
     ratio = 2 * (side(a, c, n1 / n) + side(c - a, c, 1 - n1 / n))
     odds = F.log((a + 0.5) / (n1 + 1)) - F.log((c - a + 0.5) / (n - n1 + 1))
     best = counts.filter(F.col("word") != "").filter((a >= least) & (odds > 1.0) & (ratio >= evidence)).select("word", odds.alias("odds"), ratio.alias("ratio"))
-    return Lexicon({r["word"]: r["odds"] for r in best.orderBy(F.desc("ratio"), "word").limit(most).collect()})
+    return Lexicon({r["word"]: r["odds"] for r in best.select("word", "odds").collect()})  # as many as the labelled sample holds
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = LABELLED) -> DataFrame:
@@ -179,7 +221,8 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0
     Fitted on at most ``most`` labelled rows whose crc32(doc_id) mod 4 is not
     2; id, language and source are no inputs of a score.  Null and empty texts
     score as texts that match nothing do.  A null doc_id is not held out.
-    Repeated rows score alike.  Without usable labels the score is the share
+    Repeated rows score alike; an empty table gives no rows; texts of any length
+    are read whole.  Without usable labels the score is the share
     of label 1, or 0.5 if there are none.  Other columns are not read.
     """
     bounded_batches(documents.sparkSession)
@@ -192,14 +235,15 @@ def score_toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0
     def measure(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(t, lexicon))
 
-    rows = sample.select(measure("text").alias("x"), "label").limit(2 * most).toPandas()
+    # An id may stand over several texts: the first ones in an order of their own are read, so a fit does not depend on how rows are dealt.
+    rows = sample.orderBy(F.xxhash64("text"), "label").limit(2 * most).select(measure("text").alias("x"), "label").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), 6)
     w = logistic(x, rows["label"].to_numpy(float))
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t, lexicon) for t in texts.tolist()], float).reshape(len(texts), 6)
-        return pd.Series(sigmoid(x @ w[:-1] + w[-1]))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        x = np.array([features(t, lexicon) for t in texts.to_pylist()], float).reshape(len(texts), 6)
+        return pa.array(sigmoid(x @ w[:-1] + w[-1]))
 
     held = F.coalesce(_held_out(), F.lit(False))
     return docs.select("doc_id", held.alias("held_out"), score("text").alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
