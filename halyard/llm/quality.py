@@ -17,12 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.fit import LABELLED, labelled_sample, logistic, sigmoid
-from halyard.llm.shared import bounded_batches, table
+from halyard.llm.shared import KeyFilter, bounded_batches, free, table
 
 BINS = 16
 #: Function words of English, German, French and Spanish: running prose holds many.
@@ -31,7 +32,7 @@ FUNCTION_WORDS = frozenset(
     for w in "the of and to in a is that it for on was as with be by are this at an der die das und zu den von mit ein im nicht ist sich auf für la le les des et un une dans que qui pour par sur el los las en y se del con no por su al de".split()
 )
 TEXT_VIEW = 14
-META_VIEW = 6
+META_VIEW = 3
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _KIND = np.full(256, 3, np.uint8)  # 0 letter, 1 digit, 2 space, 3 other, 4 upper case
@@ -85,26 +86,25 @@ def text_view(text: str | None) -> list[int]:
     ]
 
 
-def meta_view(lang: str | None, source: str | None, n_chars: float | None, text: str | None) -> list[int]:
-    """Bins of what is known of the page: language, source, size and layout."""
+def meta_view(lang: str | None, source: str | None, n_chars: float | None) -> list[int]:
+    """Bins of what is known of the page without reading it: language, source and size."""
     code = lambda s: int(hashing.mix(np.array([sum((i + 1) * b for i, b in enumerate((s or "").encode()))], np.uint64))[0] % BINS)
     size = 0 if n_chars is None or n_chars != n_chars else max(0.0, float(n_chars))
-    t = text or ""
-    lines = t.count("\n") + 1
-    longest = max(map(len, t.split("\n")))
-    return [code(lang), code(source), _size(size), _size(lines), _size(len(t) / lines), _size(longest)]
+    return [code(lang), code(source), _size(size)]
 
 
 def _codes(rows: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns with bins: the codes of both views, the text's first."""
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep) + ", bins array<int>"
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "bins array<int>"])
+    read = ["text", "lang", "source", "n_chars"]
 
-    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            both = [text_view(t) + meta_view(g, s, n, t) for t, g, s, n in zip(pdf["text"], pdf["lang"], pdf["source"], pdf["n_chars"], strict=True)]
-            yield pdf[keep].assign(bins=both)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            columns = [batch.column(len(keep) + i).to_pylist() for i in range(len(read))]
+            bins = [text_view(t) + meta_view(*rest) for t, *rest in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(bins, pa.list_(pa.int32()))], [*keep, "bins"])
 
-    return rows.mapInPandas(run, schema)
+    return rows.select(*keep, *read).mapInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -127,14 +127,24 @@ def _matrix(bins: pd.Series) -> np.ndarray:
     return np.array(bins.tolist(), int).reshape(len(bins), TEXT_VIEW + META_VIEW)
 
 
+_READ = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "double"}
+
+
+def _keys() -> list[Column]:
+    """Two hashes that tell rows apart by all that the views read."""
+    read = [F.col(c) for c in _READ]
+    return [F.xxhash64(*read), F.xxhash64(F.lit("2"), *reversed(read))]
+
+
 def _inputs(documents: DataFrame) -> DataFrame:
-    """doc_id, text, lang, source, n_chars; what a table lacks is null."""
-    kinds = {"doc_id": "long", "text": "string", "lang": "string", "source": "string", "n_chars": "double"}
-    return documents.select(*[(F.col(c) if c in documents.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()])
+    """doc_id, text, lang, source, n_chars and the row's keys; what a table lacks is null."""
+    rows = documents.select(*[(F.col(c) if c in documents.columns else F.lit(None)).cast(t).alias(c) for c, t in _READ.items()])
+    one, two = _keys()
+    return rows.withColumns({"row": one, "row2": two})
 
 
 def train(documents: DataFrame, labels: DataFrame, rounds: int = 3, sure: float = 0.98, most: int = LABELLED) -> tuple[Quality, DataFrame]:
-    """The model, and (doc_id, bins) of all documents.
+    """The model, and (doc_id, row, row2, bins) of all documents.
 
     At most ``most`` labelled rows (doc_id, quality) are read; pseudo-labels
     come from all rows.  A view hands over the rows whose posterior of either
@@ -144,8 +154,9 @@ def train(documents: DataFrame, labels: DataFrame, rounds: int = 3, sure: float
     bounded_batches(documents.sparkSession)
     rows = _inputs(documents)
     chosen = labelled_sample(labels, "quality", most)
-    coded = table(_codes(rows.join(F.broadcast(chosen), "doc_id", "left"), ["doc_id", "label"]), "bins")
-    known = coded.filter("label is not null").select("bins", "label").limit(4 * most).toPandas()
+    coded = table(_codes(rows.join(F.broadcast(chosen), "doc_id", "left"), ["doc_id", "label", "row", "row2"]), "bins")
+    # An id may stand over several rows: the first ones in an order of their own are read, so a fit does not depend on how rows are dealt.
+    known = coded.filter("label is not null").select("bins", "label", "row", "row2").orderBy("row", "row2").limit(4 * most).toPandas()
     x, y = _matrix(known["bins"]), known["label"].to_numpy(float)
     n = TEXT_VIEW + META_VIEW
     at = np.arange(n)
@@ -198,8 +209,9 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
 
     score is the probability of quality 1, good is 1 from ``threshold`` on.
     Nulls in any column, and columns that a table lacks, have bins of their
-    own; empty and blank texts share one.  Repeated rows score alike; without
-    labels every score is 0.5.  Other columns are not read.
+    own; empty and blank texts share one.  Repeated rows and ties score alike;
+    without labels every score is 0.5; an empty table gives no rows; texts of
+    any length are read whole.  Other columns are not read.
     """
     model, coded = train(documents, labels, **how)
 
@@ -214,15 +226,22 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
-    """The rows of documents, with their columns, whose score reaches ``threshold``."""
-    model, _ = train(documents, labels, **how)
+    """The rows of documents, with their columns, whose score reaches ``threshold``.
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series, lang: pd.Series, source: pd.Series, n_chars: pd.Series) -> pd.Series:
-        x = [text_view(t) + meta_view(g, s, n, t) for t, g, s, n in zip(text, lang, source, n_chars, strict=True)]
-        return pd.Series(model.probability(_matrix(pd.Series(x))) >= threshold)
-
-    def given(name: str, kind: str) -> Column:
-        return (F.col(name) if name in documents.columns else F.lit(None)).cast(kind)
+    Nulls, empty texts, repeats and missing columns count as in score_quality;
+    an empty table gives none.  Only rows that may be rejected are shuffled.
+    """
+    names = documents.columns
+    model, coded = train(documents, labels, **how)
 
-    return documents.filter(good(given("text", "string"), given("lang", "string"), given("source", "string"), given("n_chars", "double")))
+    @F.pandas_udf("boolean")
+    def bad(bins: pd.Series) -> pd.Series:
+        return pd.Series(model.probability(_matrix(bins)) < threshold)
+
+    r, r2 = free(names, "_r", "_r2")
+    rejected = table(coded.filter(bad("bins")).select(F.col("row").alias(r), F.col("row2").alias(r2)).distinct(), "rejected")
+    typed = [(F.col(f"`{c}`") if c in names else F.lit(None)).cast(t) for c, t in _READ.items()]
+    keyed = documents.withColumns({r: F.xxhash64(*typed), r2: F.xxhash64(F.lit("2"), *reversed(typed))})
+    may = KeyFilter(rejected, r).column(F.col(r))
+    doubtful = keyed.filter(may).join(rejected, [r, r2], "left_anti").select(*keyed.columns)
+    return keyed.filter(~may).union(doubtful).drop(r, r2)
