@@ -10,14 +10,15 @@ window less a word.
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import bounded_batches
+from halyard.llm.shared import bounded_batches, free, table
 
 #: A-Z are lower-cased; of ASCII only digits and letters belong to words.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -124,72 +125,94 @@ def _windows(items: DataFrame, size: int) -> dict[Window, set[str]]:
     return dict(out)
 
 
-def _finder(windows: dict[Window, set[str]], size: int, sent_by: SparkSession) -> Callable[[Column], Column]:
-    """A column function text -> (n_words, spans, items); a span is begin * 2**32 + end, in word positions."""
-    sent = sent_by.sparkContext.broadcast(windows)
+_FOUND = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+_SCHEMA = "n_words long, spans array<long>, items array<string>"
 
-    @F.pandas_udf("n_words long, spans array<long>, items array<string>")
-    def find(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+
+def _finder(items: DataFrame, size: int) -> Callable[[Column], Column]:
+    """A column function text -> (n_words, spans, items) for one part of the items; a span is begin * 2**32 + end, in word positions."""
+    sent = items.sparkSession.sparkContext.broadcast(_windows(items, size))
+
+    @F.arrow_udf(_SCHEMA)
+    def find(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         engine = WuManber(sent.value)
         for texts in it:
             out = []
-            for t in texts.tolist():
-                n, spans, items = engine.text(t, size - 1)
-                out.append((n, [(a << 32) + b for a, b in sorted(spans)], sorted(items)))
-            yield pd.DataFrame(out, columns=["n_words", "spans", "items"])
+            for t in texts.to_pylist():
+                n, spans, found = engine.text(t, size - 1)
+                out.append({"n_words": n, "spans": [(a << 32) + b for a, b in sorted(spans)], "items": sorted(found)})
+            yield pa.array(out, _FOUND)
 
     return find
 
 
-def find_passages(documents: DataFrame, benchmark: DataFrame, size: int = 8, most: int = 32_000_000) -> DataFrame:
-    """documents (doc_id, text) with _n_words, _spans, _items: the passages of benchmark (item_id, text) in each.
+def find_passages(documents: DataFrame, benchmark: DataFrame, size: int = 8, most: int = 32_000_000, found: str = "found") -> DataFrame:
+    """documents (doc_id, text) with ``found`` (n_words, spans, items): the passages of benchmark (item_id, text) in each.
 
-    _spans are sorted longs begin * 2**32 + end over word positions, _items the
+    Spans are sorted longs begin * 2**32 + end over word positions, items the
     distinct item ids as sorted strings.  Null and empty texts have no words;
     an item with fewer words than ``size`` is one window; an item without id,
     text or words is in no document.  Repeated rows are each searched, repeated
-    items are one.  A benchmark beyond ``most`` characters is searched part by
-    part.  Further columns of documents stay as they are, those of benchmark
-    are not read.
+    items are one; no rows give none.  Further columns of documents stay as
+    they are, those of benchmark are not read; a table that has a column
+    ``found`` is refused.
+
+    A benchmark of at most ``most`` characters is sent to the tasks.  A larger
+    one is searched part by part, a pass over the texts for each: a task holds
+    one part, and what was found is written and joined.
     """
+    if found.lower() in map(str.lower, documents.columns):
+        raise ValueError(f"documents have a column {found}; name another for the passages")
     bounded_batches(documents.sparkSession)
     text = F.col("text").cast("string")
-    found = [_finder(_windows(p, size), size, documents.sparkSession)(text) for p in _items(benchmark, most)]
-    names = [f"_found{i}" for i in range(len(found))]
-    out = documents.withColumns(dict(zip(names, found, strict=True)))
-    spans = F.array_sort(F.flatten(F.array(*[F.col(n)["spans"] for n in names])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n)["items"] for n in names]))))
-    return out.withColumns({"_n_words": F.col(names[0])["n_words"], "_spans": spans, "_items": items}).drop(*names)
-
-
-def _covered() -> Column:
-    """Positions in at least one of _spans."""
+    parts = _items(benchmark, most)
+    if len(parts) == 1:
+        return documents.withColumn(found, _finder(parts[0], size)(text))
+    one, two, made = free(documents.columns, "_one", "_two", "_made")
+    keyed = documents.withColumns({one: F.xxhash64(text), two: F.xxhash64(F.lit("2"), text)})
+    texts = keyed.filter("text is not null").select(one, two, text.alias("text")).dropDuplicates([one, two])
+    hits = []
+    for part in parts:
+        got = texts.select(one, two, _finder(part, size)("text").alias(made)).select(one, two, f"{made}.*")
+        hits.append(table(got, "passages"))
+    each = functools.reduce(DataFrame.unionByName, hits)
+    lists = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("spans", "items")]
+    whole = each.groupBy(one, two).agg(F.max("n_words").alias("n_words"), *lists).select(one, two, F.struct("n_words", "spans", "items").alias(made))
+    none = F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    return keyed.join(whole, [one, two], "left").select(*[F.col(f"`{c}`") for c in documents.columns], F.coalesce(made, none).alias(found))
+
+
+def _covered(spans: Column) -> Column:
+    """Positions in at least one of the spans."""
     zero = F.lit(0).cast("long")
     begin, end = lambda s: F.shiftright(s, 32), lambda s: s.bitwiseAND(F.lit(0xFFFFFFFF))
     return F.aggregate(
-        "_spans",
+        spans,
         F.struct(zero.alias("n"), zero.alias("end")),
         lambda acc, s: F.struct((acc["n"] + F.greatest(zero, end(s) - F.greatest(begin(s), acc["end"]))).alias("n"), F.greatest(acc["end"], end(s)).alias("end")),
         lambda acc: acc["n"],
     )
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 2) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 2, most: int = 32_000_000) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated); ``least`` items make a document contaminated.
 
-    See find_passages for nulls, ties and repeated rows.
+    See find_passages for nulls, ties, repeated rows and empty tables.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return find_passages(docs, benchmark, size).select(
+    found = find_passages(docs, benchmark, size, most)
+    n_items = F.size("found.items").cast("long")
+    return found.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
-        _covered().alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ","), 256).alias("items_sha256"),
-        (F.size("_items") >= least).alias("contaminated"),
+        F.col("found.n_words").alias("n_words"),
+        _covered(F.col("found.spans")).alias("n_hit"),
+        n_items.alias("n_items"),
+        F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
+        (n_items >= least).alias("contaminated"),
     )
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, size: int = 8, least: int = 2) -> DataFrame:
-    """The rows of documents, with their columns, that hold fewer than ``least`` items."""
-    return find_passages(documents, benchmark, size).filter(F.size("_items") < least).select(*documents.columns)
+    """The rows of documents, with their columns, that hold fewer than ``least`` items.  Nulls, ties and empty tables as in find_passages."""
+    (found,) = free(documents.columns, "found")
+    return find_passages(documents, benchmark, size, found=found).filter(F.size(f"{found}.items") < least).drop(found)
