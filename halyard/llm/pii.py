@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -74,10 +75,35 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _contexts(text: str, start: int, end: int, token: str, last: bool) -> list[str]:
+class _Words:
+    """The words of a text by their places; they are looked up once something is found."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.places = [m.span() for m in _WORD.finditer(text)]
+        self.starts, self.ends = [a for a, _ in self.places], [b for _, b in self.places]
+
+    def _named(self, places: list[tuple[int, int]]) -> list[str]:
+        return [_short(self.text[a:b].lower()) for a, b in places]
+
+    def before(self, at: int) -> list[str]:
+        """The last two words that end by ``at``."""
+        k = bisect_right(self.ends, at)
+        return self._named(self.places[max(0, k - 2) : k])
+
+    def after(self, at: int) -> list[str]:
+        """The first two words from ``at`` on."""
+        k = bisect_left(self.starts, at)
+        return self._named(self.places[k : k + 2])
+
+
+def _short(text: str) -> str:
+    """A text, or for a long one its digest: names and instances of any length stay apart."""
+    return text if len(text) <= 64 else hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _patterns(words: list[str], token: str, last: bool) -> list[str]:
     """The nearest word and the nearest two words, each with the token's class; none at the text's edge."""
-    words = _WORD.findall(text[max(0, start) : end])
-    words = [w[:24].lower() for w in (words[-2:] if last else words[:2])]
     if not words:
         return []
     near = [words[-1] if last else words[0], " ".join(words)]
@@ -90,21 +116,35 @@ def _class(token: str) -> str:
     return "9" if 2 * sum(map(str.isdigit, token)) > sum(map(str.isalnum, token)) else "a"
 
 
+#: A token with fewer characters tells nobody apart: years, counts, ages.
+LEAST = 5
+
+
 def _occurrences(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple]:
     """(start, end, instance, before, after, kind) of base spans and of other identifier-like tokens."""
     if not text or not _ANY.search(text):
         return []
     spans = [(a, b, KINDS[k]) for a, k, b in base]
-    at = 0
+    # Where base spans lie, as intervals apart from each other.
+    begins: list[int] = []
+    ends: list[int] = []
+    for a, _, b in base:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            begins.append(a)
+            ends.append(b)
     for m in _TOKEN.finditer(text):
         token = m[0]
         a = m.start() + len(token) - len(token.lstrip(_STRIP))
         b = m.end() - (len(token) - len(token.rstrip(_STRIP)))
-        while at < len(base) and base[at][2] <= a:
-            at += 1
-        if 5 <= b - a <= 64 and not any(x[0] < b and a < x[2] for x in base[at : at + 8]):
+        k = bisect_right(ends, a)
+        if b - a >= LEAST and not (k < len(begins) and begins[k] < b):
             spans.append((a, b, None))
-    return [(a, b, text[a:b], _contexts(text, a - 60, a, text[a:b], True), _contexts(text, b, b + 60, text[a:b], False), k) for a, b, k in spans]
+    if not spans:
+        return []
+    words = _Words(text)
+    return [(a, b, _short(text[a:b]), _patterns(words.before(a), text[a:b], True), _patterns(words.after(b), text[a:b], False), k) for a, b, k in spans]
 
 
 def joined(spans: list[tuple[int, int, int]], kinds: tuple[str, ...]) -> str:
@@ -179,7 +219,9 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     Spans are kind:start:end in code points, end exclusive, comma-joined by
     start, then kind: base spans first as email, ip, card, phone, then those
     that context patterns add.  Null texts are empty and have no spans; rows
-    that repeat are each scanned; other columns are not read.
+    that repeat are each scanned, and count as often; of kinds that tie for a
+    token the first by name is taken; no rows give none; texts of any length
+    are read whole; other columns are not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = table(scan(docs).withColumn("row", F.monotonically_increasing_id()), "pii")
