@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +34,48 @@ def volumes(df: DataFrame, keys: list[str], high: str, first: int = 2000, last:
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
-    """(keys, n, centroid): mean vectors.
+    """(keys, n, centroid): mean vectors, of vectors of one width for each key.
 
-    The elements are added up by position with map-side sums, so a bin of any
-    size is never gathered; only one vector for each bin is put together.
+    Each task adds up the vectors of a key as they pass and hands on one sum,
+    so a bin of any size is never gathered; the sums, one for each key and
+    task, are added by position.
     """
-    each = df.select(*keys, F.posexplode(V.doubles(F.col(vector))).alias("_j", "_x")).groupBy(*keys, "_j").agg(F.avg("_x").alias("_m"), F.count("*").alias("_n"))
-    out = each.groupBy(*keys).agg(F.max("_n").cast("long").alias("n"), F.array_sort(F.collect_list(F.struct("_j", "_m"))).alias("_c"))
-    return out.select(*keys, "n", F.transform("_c", lambda x: x["_m"]).alias("centroid"))
+    names = [*keys, "_n", "_v"]
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = (fields + ", " if fields else "") + "_n long, _v array<double>"
+    rows = df.select(*keys, V.doubles(F.col(vector)).alias("_v")).filter(F.col("_v").isNotNull())
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, list] = {}
+        for batch in it:
+            lists = batch.column(len(keys))
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            groups: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in range(len(keys))), strict=True) if keys else [()] * len(batch)):
+                groups.setdefault(key, []).append(i)
+            for key, at in groups.items():
+                widths = {int(ends[i + 1] - ends[i]) for i in at}
+                if len(widths) > 1 or (key in sums and len(sums[key][1]) not in widths):
+                    raise ValueError(f"vectors of different widths under {key}")
+                total = flat[np.concatenate([np.arange(ends[i], ends[i + 1]) for i in at])].reshape(len(at), -1).sum(axis=0)
+                if key in sums:
+                    sums[key][0] += len(at)
+                    sums[key][1] += total
+                else:
+                    sums[key] = [len(at), total]
+        if sums:
+            columns = [pa.array([k[c] for k in sums], df_types[c]) for c in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for n, _ in sums.values()], pa.int64()), pa.array([v.tolist() for _, v in sums.values()], pa.list_(pa.float64()))], names)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    df_types = [to_arrow_type(df.schema[k].dataType) for k in keys]
+    part = rows.mapInArrow(run, schema)
+    n = part.groupBy(*keys).agg(F.sum("_n").cast("long").alias("n"))
+    each = part.select(*keys, F.posexplode("_v").alias("_j", "_x")).groupBy(*keys, "_j").agg(F.sum("_x").alias("_s"))
+    gathered = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_j", "_s"))).alias("_c"))
+    both = gathered.join(n, keys) if keys else gathered.join(n)
+    return both.select(*keys, "n", F.transform("_c", lambda x: x["_s"] / F.col("n")).alias("centroid"))
 
 
 def decomposition(df: DataFrame, keys: list[str], anchor: list[float], vector: str = "embedding", floor: int = 5) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,10 +81,22 @@ def in_window(year: Column, first: int = 2000, last: int = 2024) -> Column:
 
 
 def floor_mask(df: DataFrame, keys: list[str], floor: int = 5, first: int = 2000, last: int = 2024) -> DataFrame:
-    """df with ``analyzed``: the row's year is in the window and its bin has ``floor`` rows."""
+    """df with ``analyzed``: the row's year is in the window and its bin has ``floor`` rows.
+
+    Bins are counted where their rows are, and the counts, a row a bin, come to
+    the rows: these are never shuffled by a few dozen years.
+    """
     inside = in_window(F.col("year"), first, last)
-    n = F.count("*").over(Window.partitionBy(*keys, "year"))
-    return df.withColumn("analyzed", (inside & (n >= floor)).cast("int"))
+    bins = [F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "year"])]
+    counts = df.filter(inside).groupBy(*bins).agg((F.count("*") >= floor).alias("_enough"))
+    same = functools.reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, "year"])])
+    met = df.join(F.broadcast(counts), same, "left")
+    return met.withColumn("analyzed", (inside & F.coalesce("_enough", F.lit(False))).cast("int")).drop("_enough", *(f"_k{i}" for i in range(len(bins))))
+
+
+def at_least(df: DataFrame, keys: list[str], least: int, name: str = "n") -> DataFrame:
+    """(keys, name) of the keys that occur ``least`` times."""
+    return df.groupBy(*keys).agg(F.count("*").cast("long").alias(name)).filter(F.col(name) >= least)
 
 
 def funnel(records: DataFrame, keys: list[str]) -> DataFrame:

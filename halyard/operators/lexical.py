@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,30 +18,27 @@ def term_counts(docs: DataFrame, keys: list[str], text: str = "text", stop: list
 
 
 def inverse_frequencies(counts: DataFrame, unit: list[str], least: int) -> DataFrame:
-    """(term, idf) of terms in ``least`` units: ln((1 + N) / (1 + df)) + 1."""
+    """(term, idf) of terms in ``least`` units: ln((1 + N) / (1 + df)) + 1.  Kept, as it is read more than once."""
     units = counts.select(*unit, "term").distinct()
-    n = units.select(*unit).distinct().count()
+    n = counts.select(*unit).distinct().count()
     df = units.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
-    return df.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-
-
-def weights(counts: DataFrame, idf: DataFrame, sublinear: bool) -> DataFrame:
-    tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
-    return counts.join(idf, "term").withColumn("w", tf * F.col("idf"))
+    return df.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def similarities(counts: DataFrame, keys: list[str], anchor: DataFrame, idf: DataFrame, sublinear: bool = True) -> DataFrame:
     """(keys, similarity): cosine of each text's vector to the anchor's (term, tf); texts that share no term have 0.
 
-    Only lengths and products are summed; no vector is ever built.
+    Only lengths and products are summed; no vector is ever built.  A term
+    without idf weighs nothing, so every text keeps its row in one pass.
     """
-    a = weights(anchor, idf, sublinear).select("term", F.col("w").alias("wa"))
+    tf = 1 + F.log("tf") if sublinear else F.col("tf").cast("double")
+    a = anchor.join(idf, "term").select("term", (tf * F.col("idf")).alias("wa"))
     length = a.agg(F.sqrt(F.sum(F.col("wa") * F.col("wa")))).first()[0] or 0.0
-    each = weights(counts, idf, sublinear).join(a, "term", "left")
+    known = idf.join(a, "term", "left").withColumn("wa", F.coalesce("wa", F.lit(0.0)))
+    each = counts.join(known, "term", "left").withColumn("w", F.coalesce(tf * F.col("idf"), F.lit(0.0)))
     sums = each.groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce("wa", F.lit(0.0))).alias("_p"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
     score = F.coalesce(F.col("_p") / F.nullif(F.col("_l") * F.lit(float(length)), F.lit(0.0)), F.lit(0.0))
-    found = sums.select(*keys, score.alias("similarity"))
-    return counts.select(*keys).distinct().join(found, keys, "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    return sums.select(*keys, score.alias("similarity"))
 
 
 def variant(counts: DataFrame, anchor: DataFrame, fit: str, score: str, least: int = 2) -> DataFrame:
@@ -50,6 +48,7 @@ def variant(counts: DataFrame, anchor: DataFrame, fit: str, score: str, least: i
     "year" or "record", what idf is fitted on besides the anchor; ``score`` is
     "year", annual documents, or "record_mean", the mean over records.
     """
+    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and cut into words once
     annual = counts.groupBy("year", "term").agg(F.sum("tf").alias("tf"))
     unit = annual.select(F.col("year").cast("long").alias("u"), "term") if fit == "year" else counts.select(F.col("doc_id").alias("u"), "term")
     fitted = unit.withColumn("a", F.lit(0)).union(anchor.select(F.lit(0).cast("long").alias("u"), "term", F.lit(1).alias("a")))

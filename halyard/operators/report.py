@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.functions.vectors import finite
+from halyard.operators.corpus import with_ordinal
 
 
 def series_summary(df: DataFrame, keys: list[str], x: str = "year", n: str = "n") -> DataFrame:
@@ -83,3 +84,50 @@ def differences(a: DataFrame, b: DataFrame, atol: float = 0.0, ids: frozenset[st
             if not same:
                 found.append(f"row {i}, {c}: {u!r} and {v!r}")
     return found
+
+
+def ordered_zip(left: DataFrame, left_order: list[str], right: DataFrame, right_order: list[str], same: list[str] | None = None) -> DataFrame:
+    """(ordinal, left's columns, right's columns): rows at the same place in two total orders, from 0.
+
+    ``same`` names columns of both that must agree at each place; they stand
+    once in the result, and a place where they differ is an error.
+    """
+    same = same or []
+    a = with_ordinal(left, *left_order)
+    b = with_ordinal(right.withColumnsRenamed({c: f"_r_{c}" for c in same}), *[f"_r_{c}" if c in same else c for c in right_order])
+    both = a.join(b, "ordinal")
+    for c in same:
+        at = F.concat(F.lit(f"{c} differs at "), F.col("ordinal").cast("string"))
+        both = both.withColumn(c, F.when(F.col(c).eqNullSafe(F.col(f"_r_{c}")), F.col(c)).otherwise(F.raise_error(at).cast(left.schema[c].dataType)))
+    return both.drop(*[f"_r_{c}" for c in same])
+
+
+def score_audit(scores: DataFrame, records: DataFrame, key: str, columns: list[str], slack: float = 1e-5) -> DataFrame:
+    """One row: scores, records that have one, scores without a record, out of range, and of another text than the record's (by sha256)."""
+    wide = F.greatest(F.lit(0.0), *[F.coalesce(F.abs(c), F.lit(9.0)) for c in columns]) > 1 + slack
+    own = records.select(key, F.lit(True).alias("_there"), F.sha2("text", 256).alias("_own"))
+    met = scores.join(own, key, "left")
+    return met.agg(
+        F.count("*").alias("members"),
+        F.count_distinct(key).alias("records"),
+        F.count_if(F.col("_there").isNull()).alias("without_record"),
+        F.count_if(wide).cast("long").alias("out_of_range"),
+        F.count_if(~F.col("text_sha256").eqNullSafe(F.col("_own")) | F.col("_own").isNull()).cast("long").alias("other_text"),
+    )
+
+
+def check_same(given: dict, wanted: dict, what: str = "configuration") -> None:
+    """An error that names every entry in which two configurations differ; lists count as sets."""
+    plain = lambda v: sorted(map(str, v)) if isinstance(v, list | tuple | set | frozenset) else v
+    off = sorted(k for k in given.keys() | wanted.keys() if plain(given.get(k)) != plain(wanted.get(k)))
+    if off:
+        raise ValueError(f"{what} differs: {', '.join(f'{k} is {given.get(k)!r}, not {wanted.get(k)!r}' for k in off)}")
+
+
+def check_outputs(made: dict[str, DataFrame], wanted: dict[str, DataFrame], atol: float = 0.0) -> None:
+    """An error unless every wanted result table is made, no other is, and each matches (see differences)."""
+    if made.keys() != wanted.keys():
+        raise ValueError(f"missing {sorted(wanted.keys() - made.keys())}, unexpected {sorted(made.keys() - wanted.keys())}")
+    off = {name: found for name in wanted if (found := differences(made[name], wanted[name], atol))}
+    if off:
+        raise ValueError(f"results differ: {off}")

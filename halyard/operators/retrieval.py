@@ -36,7 +36,7 @@ def check_membership(membership: DataFrame, records: DataFrame, key: str = "pmid
 def check_scores(scores: DataFrame, records: DataFrame, columns: list[str], key: str = "pmid", slack: float = 1e-5) -> None:
     """Scores belong to the records' texts, by sha256, and are cosines; else an error."""
     check_keys_equal(scores, records, key)
-    bad = scores.filter(~F.greatest(*[F.coalesce(F.abs(c), F.lit(9.0)) for c in columns]).between(0, 1 + slack)).first()
+    bad = scores.filter(F.greatest(F.lit(0.0), *[F.coalesce(F.abs(c), F.lit(9.0)) for c in columns]) > 1 + slack).first()
     if bad is not None:
         raise ValueError(f"score out of range: {bad[key]}")
     other = records.join(scores, key).filter(F.sha2("text", 256) != F.col("text_sha256")).first()

@@ -243,12 +243,66 @@ def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.read(spark, sf_dir, "pages").select("page_id", strip_markup(F.col("html")).alias("text"))
 
 
-@query()
+_CONTRIBUTIONS = """r AS (SELECT label, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings
+), a AS (SELECT [x / sqrt(list_sum([y * y FOR y IN CAST(embedding AS DOUBLE[])])) FOR x IN CAST(embedding AS DOUBLE[])] AS a FROM embeddings WHERE vec_id = 0
+), e AS (SELECT label, k, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS j FROM r
+), s AS (SELECT label, j, sum(x) AS x, sum(CASE WHEN k <= 2 THEN x ELSE 0 END) AS p FROM e GROUP BY label, j
+), n AS (SELECT label, sqrt(sum(x * x)) AS n, sum(x * a[j]) AS x, sum(p * a[j]) AS p FROM s, a GROUP BY label)"""
+
+
+@query(f"WITH {_CONTRIBUTIONS} SELECT label, {r('p / n', 'part')}, {r('x / n', 'cosine')} FROM n")
 def term_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each vector of a label as a token state: the share of the label's cosine that its first two carry."""
     e = M.read(spark, sf_dir, "embeddings")
-    states = e.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda s: s["embedding"]).alias("states"))
     a = V.unit(F.lit(M.anchor(spark, sf_dir, 0)))
-    whole = E.term_contributions(F.col("states"), F.sequence(F.lit(0), F.size("states") - 1), a)
-    part = E.term_contributions(F.col("states"), F.array(F.lit(0), F.lit(1)), a)
-    return rounded(states.select("label", part.alias("part"), whole.alias("cosine")), "part", "cosine")
+    return rounded(E.contributions(e, ["label"], "vec_id", 2, a), "part", "cosine")
+
+
+@query(f"WITH {_CONTRIBUTIONS} SELECT count(*) AS n, {r('avg(p / n)', 'part')}, {r('avg(x / n)', 'cosine')} FROM n")
+def mean_contribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over labels of what the first two states carry."""
+    e = M.read(spark, sf_dir, "embeddings")
+    each = E.contributions(e, ["label"], "vec_id", 2, V.unit(F.lit(M.anchor(spark, sf_dir, 0))))
+    return rounded(each.agg(F.count("*").alias("n"), F.avg("part").alias("part"), F.avg("cosine").alias("cosine")), "part", "cosine")
+
+
+@query(f"""WITH k AS (SELECT (2000 + substr(source, 4)::INT)::INT AS year, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term FROM documents WHERE lang = 'en')
+SELECT year, term, count(*) AS n FROM k GROUP BY year, term HAVING count(*) >= 10""")
+def frequent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of a year that occur ten times."""
+    d = M.read(spark, sf_dir, "documents").filter("lang = 'en'")
+    return C.at_least(d.select(M.year_of(F.col("source")).alias("year"), F.explode(X.tokens(F.col("text"))).alias("term")), ["year", "term"], 10)
+
+
+@query(f"""WITH {CTE}, h AS (SELECT year, list_cosine_similarity(v[1:32], (SELECT a[1:32] FROM anchors WHERE anchor = 0)) AS cos FROM corpus
+), s AS (SELECT year, avg(cos) AS mean FROM h WHERE year BETWEEN 2000 AND 2024 GROUP BY year HAVING count(*) >= 5), t AS ({M.trend_sql('s', [])})
+SELECT n_points, {r('tau', 'tau')}, {r('slope', 'slope', 9)} FROM t""")
+def other_vector_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trend over another vector of the same records: the first half stands in for the first token's state."""
+    from halyard.operators.trend import trend
+
+    half = F.slice(F.col("embedding"), 1, 32)
+    cos = V.cosine(half, F.lit(M.anchor(spark, sf_dir, 0)[:32]))
+    t = trend(A.annual_series(M.corpus(spark, sf_dir).select("year", cos.alias("cos")), []), [])
+    return rounded(rounded(t, "tau"), "slope", places=9)
+
+
+@query("""WITH s AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS ordinal, substr(text, 1, 5) AS spec FROM benchmark
+), q AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ordinal FROM documents) SELECT ordinal, item_id, doc_id, spec FROM s JOIN q USING (ordinal)""")
+def ordered_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications with the records at the same place."""
+    specs = M.read(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 5).alias("spec"))
+    records = M.read(spark, sf_dir, "documents").select("doc_id")
+    return R.ordered_zip(specs, ["item_id"], records, ["doc_id"])
+
+
+@query("""SELECT count(*) AS members, count(DISTINCT e.vec_id) AS records, count(*) FILTER (d.doc_id IS NULL) AS without_record,
+  count(*) FILTER (abs(cos) > 1 + 1e-5)::BIGINT AS out_of_range, count(*) FILTER (d.text IS NULL OR sha256(d.text) <> sha256(d.text || ''))::BIGINT AS other_text
+FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)) AS cos FROM embeddings) e LEFT JOIN documents d ON d.doc_id = e.vec_id""")
+def membership_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores against the records that they are of: members, records, and what does not hold."""
+    cos = V.cosine(F.col("embedding"), F.lit(M.anchor(spark, sf_dir, 0)))
+    scores = M.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), cos.alias("cos"))
+    records = M.read(spark, sf_dir, "documents").select("doc_id", "text")
+    told = scores.join(records.select("doc_id", F.sha2("text", 256).alias("text_sha256")), "doc_id", "left")
+    return R.score_audit(told, records, "doc_id", ["cos"])
