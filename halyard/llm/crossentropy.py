@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
-from halyard.llm.shared import KeyFilter, bounded_batches, table
+from halyard.llm.shared import KeyFilter, bounded_batches, table, tidy
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BATCH = 2_000_000
@@ -86,7 +86,7 @@ def _tallied(docs: DataFrame, make, names: tuple[str, str, str]) -> DataFrame:
         if size:
             yield add_up(keys, marks)
 
-    counted = docs.select("text", "target").mapInArrow(run, schema)
+    counted = docs.select("text", "target").mapInArrow(tidy(run), schema)
     return counted.groupBy(names[0]).agg(*[F.sum(c).alias(c) for c in names[1:]])
 
 
@@ -224,7 +224,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, share: float = SHAR
             numbers = [pa.array(pair), pa.array(m.astype(np.int32)), pa.array(size.astype(np.int64), mask=~first), pa.array(target, mask=~first), pa.array(background, mask=~first)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), *numbers], [x.split()[0] for x in _ROW.split(", ")])
 
-    scored = marked.select("row", "doc_id", "target", "text").mapInArrow(run, _ROW)
+    scored = marked.select("row", "doc_id", "target", "text").mapInArrow(tidy(run), _ROW)
     number = one.vocab.width
     priors = spark.createDataFrame(pa.table({"w": pa.array(np.arange(number - 1)), "prior": one.prior[0], "prior1": one.prior[1]}))
     rest = rest.withColumn("w", F.col("pair") % number).join(F.broadcast(priors), "w").drop("w")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import MOST_HOT, cut, drop, join_hot, table
+from halyard.llm.shared import MOST_HOT, cut, drop, join_hot, table, tidy
 
 
 class UnionFind:
@@ -164,4 +164,4 @@ def compare_in_blocks(members: DataFrame, links: Links, block: int, weight: Colu
                 out = []
         yield pd.DataFrame(out, columns=["a", "b"])
 
-    return sorted_.mapInPandas(run, f"a {id_type}, b {id_type}")
+    return sorted_.mapInPandas(tidy(run), f"a {id_type}, b {id_type}")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.groups import Group, UnionFind, compare_in_blocks, components, key_sizes, one_by_one
-from halyard.llm.shared import KeyFilter, bounded_batches, free, join_hot, map_texts, table
+from halyard.llm.shared import KeyFilter, bounded_batches, free, join_hot, map_texts, table, tidy
 
 SLOTS = 256
 _LOW = np.uint64(0x0000FFFFFFFFFFFF)
@@ -204,7 +204,7 @@ def _members(classes: DataFrame, sizes: DataFrame) -> DataFrame:
                 few = batch.column(4).take(pa.array(owner[there], mask=~odd))
                 yield pa.RecordBatch.from_arrays([pa.array(key[there]), batch.column(1).take(rows), batch.column(2).take(rows), sketch, few], names)
 
-    return classes.select("keys", "set_id", "n_shingles", "sketch", "few").mapInArrow(run, "key long, id binary, n_shingles long, sketch binary, few binary")
+    return classes.select("keys", "set_id", "n_shingles", "sketch", "few").mapInArrow(tidy(run), "key long, id binary, n_shingles long, sketch binary, few binary")
 
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -257,4 +257,4 @@ def _with_set(rows: DataFrame, k: int) -> DataFrame:
             own = [hashlib.blake2b(hashing.shingles(w, k).tobytes(), digest_size=16).digest() for w in hashing.word_hashes(batch.column(2).to_pylist())]
             yield batch.filter(pa.array([a == b for a, b in zip(own, batch.column(1).to_pylist(), strict=True)], pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema).dropDuplicates(["id"])
+    return rows.mapInArrow(tidy(run), rows.schema).dropDuplicates(["id"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.fit import LABELLED, labelled_sample, logistic, sigmoid
-from halyard.llm.shared import KeyFilter, bounded_batches, free, table
+from halyard.llm.shared import KeyFilter, bounded_batches, free, table, tidy
 
 BINS = 16
 #: Function words of English, German, French and Spanish: running prose holds many.
@@ -104,7 +104,7 @@ def _codes(rows: DataFrame, keep: list[str]) -> DataFrame:
             bins = [text_view(t) + meta_view(*rest) for t, *rest in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(bins, pa.list_(pa.int32()))], [*keep, "bins"])
 
-    return rows.select(*keep, *read).mapInArrow(run, schema)
+    return rows.select(*keep, *read).mapInArrow(tidy(run), schema)
 
 
 @dataclass(frozen=True)

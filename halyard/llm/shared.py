@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -116,7 +119,7 @@ class KeyFilter:
             yield pa.RecordBatch.from_arrays([pa.array([part.tobytes()], pa.binary())], ["part"])
 
         total = np.zeros(bits // 8, np.uint8)
-        for row in keys.select(F.col(key).alias("k")).coalesce(4).mapInArrow(fill, "part binary").toLocalIterator():
+        for row in keys.select(F.col(key).alias("k")).coalesce(4).mapInArrow(tidy(fill), "part binary").toLocalIterator():
             total |= np.frombuffer(row["part"], np.uint8)
         self.sent = keys.sparkSession.sparkContext.broadcast(total.tobytes())
 
@@ -171,6 +174,42 @@ def join_hot(rows: DataFrame, per_key: DataFrame, key: str, count: str, written:
     return rows.join(sent, key).unionByName(cold)
 
 
+#: What a worker forgets when it rests: memos that only save time.
+FORGOTTEN: list[Callable[[], None]] = []
+_REST_S = 2.0
+_rest: list[threading.Timer] = []
+
+
+def _forget() -> None:
+    for f in FORGOTTEN:
+        f()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for a worker that gives back its memory once it has had no task for a while.
+
+    Workers outlive their tasks, and those of an earlier stage wait beside
+    those of a later one.
+    """
+
+    def tidied(it: Iterator) -> Iterator:
+        while _rest:
+            _rest.pop().cancel()
+        try:
+            yield from run(it)
+        finally:
+            timer = threading.Timer(_REST_S, _forget)
+            timer.daemon = True
+            _rest.append(timer)
+            timer.start()
+
+    return tidied
+
+
 def map_texts(docs: DataFrame, keep: list[str], make: Callable[[list], list[pa.Array]], made: str, names: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns, which Python hands on as they came, and the columns ``made`` that ``make`` builds from the texts of a batch.
 
@@ -184,4 +223,4 @@ def map_texts(docs: DataFrame, keep: list[str], make: Callable[[list], list[pa.A
             kept = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays([*kept, *make(batch.column(len(keep)).to_pylist())], all_)
 
-    return docs.select(*keep, "text").mapInArrow(run, schema)
+    return docs.select(*keep, "text").mapInArrow(tidy(run), schema)

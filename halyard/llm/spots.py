@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.groups import Group, compare_in_blocks, components, one_by_one
-from halyard.llm.shared import bounded_batches, free, join_hot, table
+from halyard.llm.shared import bounded_batches, free, join_hot, table, tidy
 
 #: Common words that anchor chains, in English, German, French and Spanish, and words that chains skip.
 ANCHORS = "the a is of to and in it be was for der die das und ist ein den zu von le la les de des un une et que est el los las en y es con".split()
@@ -175,7 +175,7 @@ def alike(documents: DataFrame, least: float = 0.8) -> DataFrame:
             take = pa.array(np.concatenate(index)) if index else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key) if key else np.empty(0, np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["key", "id", "spots"])
 
-    members = classes.select("id", "spots").mapInArrow(keys, "key long, id string, spots binary")
+    members = classes.select("id", "spots").mapInArrow(tidy(keys), "key long, id string, spots binary")
     roots = components(compare_in_blocks(members, one_by_one(_pairs(least)), 1000, F.length("spots"), 64_000_000)).withColumnRenamed("node", "id")
     grouped = table(classes.select("id", "fingerprint", "rows", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "spot_groups")
     low = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
@@ -256,4 +256,4 @@ def against_next(documents: DataFrame, least: float = LEAST) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
 
-    return ranged.mapInArrow(run, _OUT)
+    return ranged.mapInArrow(tidy(run), _OUT)

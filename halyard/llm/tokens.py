@@ -15,6 +15,8 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
+from halyard.llm.shared import FORGOTTEN
+
 #: The tokenizer's split pattern, as its file states it.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ſ]+")
@@ -95,10 +97,11 @@ class WordTokenizer:
 
 
 _LOADED: dict[str, WordTokenizer] = {}
+FORGOTTEN.append(_LOADED.clear)
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """One for each process, kept between tasks."""
+    """One for each process, kept between tasks that follow each other."""
     if path not in _LOADED:
         _LOADED[path] = WordTokenizer(path)
     return _LOADED[path]
