@@ -70,3 +70,25 @@ def significant(p: Column, level: float = 0.05) -> Column:
 def rounded(x: Column, places: int = 6) -> Column:
     """Rounded, with no negative zero."""
     return F.round(x, places) + F.lit(0.0)
+
+
+def fixed(x: Column, places: int) -> Column:
+    """A number's text with so many places; it is rounded half away from zero first."""
+    return F.format_string(f"%.{places}f", F.round(x, places))
+
+
+def scientific(x: Column, places: int = 2) -> Column:
+    """A number's text like 1.23e-05."""
+    return F.format_string(f"%.{places}e", x)
+
+
+def general(x: Column, digits: int = 6) -> Column:
+    """A number's text with so many significant digits and no trailing zeros, scientific below 1e-4 and from 10**digits on."""
+    parts = F.split(F.format_string(f"%.{digits - 1}e", x), "e")
+    power = parts[1].cast("int")
+    bare = lambda t: F.when(t.contains("."), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t)
+    plain = F.lit(None).cast("string")
+    for k in range(-4, digits):
+        plain = F.coalesce(plain, F.when(power == k, bare(F.format_string(f"%.{digits - 1 - k}f", x))))
+    written = F.concat(bare(parts[0]), F.lit("e"), parts[1])
+    return F.when(x == 0, F.lit("0")).when((power < -4) | (power >= digits), written).otherwise(plain)

@@ -70,11 +70,6 @@ def high_evidence(types: Column) -> Column:
     return F.coalesce(F.exists(types, lambda t: F.regexp_like(F.lower(t), F.lit("|".join(HIGH_EVIDENCE)))), F.lit(False))
 
 
-def id_set_digest(ids: Column) -> Column:
-    """Aggregate: sha256 of the distinct ids, sorted as numbers, a line each."""
-    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_set(ids.cast("long"))), lambda x: x.cast("string")), "\n"), 256)
-
-
 TOKEN = r"[\p{L}\p{N}_]{2,}"
 
 

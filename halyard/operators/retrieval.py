@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from halyard.functions import series as S
-from halyard.functions.text import id_set_digest
 from halyard.operators.annual import annual_series
 from halyard.operators.corpus import check_keys_equal
 from halyard.operators.trend import trend
@@ -44,9 +48,42 @@ def check_scores(scores: DataFrame, records: DataFrame, columns: list[str], key:
         raise ValueError(f"score of another text: {other[key]}")
 
 
+def set_digests(df: DataFrame, keys: list[str], id: str) -> DataFrame:
+    """(keys, n, id_set_sha256): sha256 of each key's distinct ids, sorted as numbers, a line each.
+
+    A digest is of a sequence, so one task reads a key's ids; it reads them as
+    a sorted stream and holds none.  Ids are made distinct before.
+    """
+    rows = df.select(*keys, F.col(id).cast("long").alias("_id")).filter("_id is not null").distinct().repartition(*keys).sortWithinPartitions(*keys, "_id")
+    fields = [f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, n, types = None, None, 0, None
+
+        def told() -> pa.RecordBatch:
+            columns = [pa.array([k], t) for k, t in zip(now, types, strict=True)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], [*keys, "n", "id_set_sha256"])
+
+        for batch in it:
+            types = [batch.column(i).type for i in range(len(keys))]
+            places = zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True)
+            for key, group in itertools.groupby(zip(places, batch.column(len(keys)).to_pylist(), strict=True), key=lambda x: x[0]):
+                if key != now:
+                    if now is not None:
+                        yield told()
+                    now, digest, n = key, hashlib.sha256(), 0
+                ids = [str(i) for _, i in group]
+                digest.update((("\n" if n else "") + "\n".join(ids)).encode())
+                n += len(ids)
+        if now is not None:
+            yield told()
+
+    return rows.mapInArrow(run, ", ".join([*fields, "n long, id_set_sha256 string"]))
+
+
 def variants(members: DataFrame, keys: list[str], id: str = "doc_id", value: str = "cos", floor: int = 5) -> DataFrame:
     """(keys, raw_records, analyzed_records, n_years, tau, direction, id_set_sha256) of members (keys, id, year, value)."""
-    ids = members.groupBy(*keys).agg(F.count_distinct(id).cast("long").alias("raw_records"), id_set_digest(F.col(id)).alias("id_set_sha256"))
+    ids = set_digests(members, keys, id).withColumnRenamed("n", "raw_records")
     annual = annual_series(members, keys, value, floor)
     n = annual.groupBy(*keys).agg(F.sum("n").cast("long").alias("analyzed_records"))
     t = trend(annual, keys).select(*keys, F.col("n_points").alias("n_years"), "tau")

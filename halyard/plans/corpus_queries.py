@@ -236,7 +236,8 @@ def pooling_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(p.select("label", F.posexplode("pooled").alias("position", "value")), "value")
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g'),
+  '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
 def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from halyard.sources.articles import strip_markup
 
@@ -306,3 +307,30 @@ def membership_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = M.read(spark, sf_dir, "documents").select("doc_id", "text")
     told = scores.join(records.select("doc_id", F.sha2("text", 256).alias("text_sha256")), "doc_id", "left")
     return R.score_audit(told, records, "doc_id", ["cos"])
+
+
+#: Words of the synthetic prose, common ones and others.
+TERMS = ["the", "of the", "erly", "tion"]
+
+
+@query()
+def term_displacement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far context moves terms, by a stand-in encoder; terms with ten occurrences."""
+    d = M.read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+    context = E.in_context(E.occurrence_vectors(d, TERMS, E.neighbour_encoder), ["doc_id"])
+    terms = spark.createDataFrame([(t, t) for t in TERMS], "term string, text string")
+    alone = E.occurrence_vectors(terms, TERMS, E.neighbour_encoder).select(F.col("term").alias("_t"), F.inline("found")).filter("term = _t")
+    anchor = E.neighbour_encoder()(["the claim that stands"])[0][1].mean(axis=0).tolist()
+    moved = E.displacement(alone.select("term", F.get("vectors", F.lit(0)).alias("vector")), context, anchor)
+    return rounded(moved, "displacement", "cos_alone", "cos_context", "pull")
+
+
+_DAY = "(SELECT event_type, date_diff('day', DATE '2024-01-01', ts::DATE) AS day, avg(value) AS mean FROM events GROUP BY 1, 2)"
+
+
+@query(f"""SELECT event_type, day::INT AS day, printf('%.3f', round(mean, 3)) AS f3, printf('%.6f', round(mean, 6)) AS f6, printf('%.8f', round(mean, 8)) AS f8 FROM {_DAY}""")
+def metric_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means with three, six and eight places."""
+    e = M.read(spark, sf_dir, "events").select("event_type", F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), "value")
+    m = e.groupBy("event_type", "day").agg(F.avg("value").alias("mean"))
+    return m.select("event_type", "day", *[S.fixed(F.col("mean"), k).alias(f"f{k}") for k in (3, 6, 8)])

@@ -155,18 +155,45 @@ def ols_clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.regress_clustered(M.scored(spark, sf_dir), []).drop("t"), "slope", "standard_error", places=8)
 
 
-@query()
+#: How many orders of n things have 0, 1, 2, ... inversions, as lists.
+_ORDERS = """orders(n, c) AS (
+  SELECT 1, [1.0::DOUBLE] UNION ALL
+  SELECT n + 1, [list_sum(c[greatest(k - n, 1) : least(k, len(c))]) FOR k IN range(1, len(c) + n + 1)] FROM orders WHERE n < 33)"""
+
+
+@query(f"""WITH RECURSIVE {_ORDERS}, {_DAILY}, s AS (
+  SELECT a.event_type, ((1 + sqrt(1 + 8 * count(*))) / 2)::BIGINT AS n, count(*) AS whole, sum(sign(b.mean - a.mean))::BIGINT AS s
+  FROM daily a JOIN daily b ON a.event_type = b.event_type AND a.day < b.day GROUP BY a.event_type
+), f AS (SELECT *, least((whole - s) // 2, whole - (whole - s) // 2) AS few FROM s
+), p AS (SELECT event_type, s::DOUBLE / whole AS tau, CASE WHEN 2 * few = whole THEN 1.0 ELSE least(1.0, 2 * list_sum(c[1 : few + 1]) / list_sum(c)) END AS p FROM f JOIN orders ON orders.n = f.n)
+SELECT event_type, {r('tau', 'tau')}, {r('p', 'p_value', 9)}, (p < 0.05)::INT AS significant FROM p""")
 def kendall_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = T.gather(_daily(spark, sf_dir), ["event_type"], x="day", p="mean")
-    p = P.kendall_pvalue(F.col("p"))
-    return g.select("event_type", S.rounded(S.kendall(F.col("p"))).alias("tau"), p.alias("p_value")).withColumn("significant", S.significant(F.col("p_value")))
+    out = g.select("event_type", S.rounded(S.kendall(F.col("p"))).alias("tau"), P.kendall_pvalue(F.col("p")).alias("p_value"))
+    return rounded(out.withColumn("significant", S.significant(F.col("p_value"))), "p_value", places=9)
 
 
-@query()
+@query(f"""WITH {CTE}, {_A0}, z AS (
+  SELECT mean AS y, (year - avg(year) OVER ()) / stddev_pop(year) OVER () AS x, (ln(n) - avg(ln(n)) OVER ()) / stddev_pop(ln(n)) OVER () AS v, avg(mean) OVER () AS my FROM a0
+), s AS (SELECT count(*) AS n, sum(x * v) AS xv, sum(x * y) AS xy, sum(v * y) AS vy, sum(x * x) AS xx, sum(v * v) AS vv FROM z
+), b AS (SELECT *, (xy * vv - vy * xv) / (xx * vv - xv * xv) AS bx, (vy * xx - xy * xv) / (xx * vv - xv * xv) AS bv FROM s
+), e AS (SELECT sum((y - my - bx * x - bv * v) ** 2) AS rss FROM z, b
+), one AS (SELECT 'volume' AS model, bx / sqrt(rss / (n - 3) * vv / (xx * vv - xv * xv)) AS t, n - 3 AS dof FROM b, e
+), c AS (SELECT year, cos FROM scored WHERE anchor = 0
+), f AS (SELECT regr_slope(cos, year) AS b, avg(year) AS mx, avg(cos) AS my, count(*) AS n, sum((year - (SELECT avg(year) FROM c)) ** 2) AS sxx FROM c
+), g AS (SELECT c.year, sum((c.year - f.mx) * (c.cos - f.my - f.b * (c.year - f.mx))) AS u FROM c, f GROUP BY c.year
+), m AS (SELECT count(*) AS k, sum(u * u) AS meat FROM g
+), two AS (SELECT 'clustered' AS model, b / (sqrt(k / (k - 1.0) * (n - 1.0) / (n - 2.0) * meat) / sxx) AS t, k - 1 AS dof FROM f, m
+), a AS (SELECT *, atan(abs(t) / sqrt(dof)) AS th FROM (SELECT * FROM one UNION ALL SELECT * FROM two)
+), q AS (SELECT *, CASE WHEN dof % 2 = 0
+  THEN sin(th) * list_sum([exp(lgamma(2 * k + 1) - 2 * lgamma(k + 1) - k * ln(4)) * cos(th) ** (2 * k) FOR k IN range(0, dof // 2)])
+  ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum([exp(k * ln(4) + 2 * lgamma(k + 1) - lgamma(2 * k + 2)) * cos(th) ** (2 * k + 1) FOR k IN range(0, dof // 2)]), 0)) END AS inside FROM a)
+SELECT model, {r('t', 't')}, dof::BIGINT AS dof, {r('greatest(0, 1 - inside)', 'p_value', 9)} FROM q""")
 def t_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = T.regress_on_volume(_annual(spark, sf_dir), []).select(F.lit("volume").alias("model"), F.col("t_x").alias("t"), "dof")
     c = T.regress_clustered(M.scored(spark, sf_dir), []).select(F.lit("clustered").alias("model"), "t", (F.col("clusters") - 1).alias("dof"))
-    return v.union(c).withColumn("p_value", P.t_pvalue(F.col("t"), F.col("dof")))
+    both = v.union(c).select("model", "t", F.col("dof").cast("long").alias("dof"))
+    return rounded(rounded(both.withColumn("p_value", P.t_pvalue(F.col("t"), F.col("dof"))), "t"), "p_value", places=9)
 
 
 _PHASE_DRAW = "('0x' || substr(md5(anchor || '-' || k || '-' || rep), 1, 8))::BIGINT * 2 * pi() / 4294967296"
@@ -311,9 +338,7 @@ def query_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, count(DISTINCT doc_id) AS n, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id)) AS id_set_sha256 FROM documents GROUP BY lang")
 def idset_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from halyard.functions.text import id_set_digest
-
-    return M.read(spark, sf_dir, "documents").groupBy("lang").agg(F.count_distinct("doc_id").alias("n"), id_set_digest(F.col("doc_id")).alias("id_set_sha256"))
+    return Q.set_digests(M.read(spark, sf_dir, "documents"), ["lang"], "doc_id")
 
 
 @query("""SELECT sha256(text) AS text_sha256, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents GROUP BY sha256(text)""")
@@ -340,7 +365,7 @@ def pca_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def term_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = M.read(spark, sf_dir, "embeddings").filter("vec_id < 21").select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").alias("vector"))
+    terms = M.read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("term"), F.col("embedding").alias("vector"))
     return G.term_loadings(A.centroids(M.corpus(spark, sf_dir), ["year"]), terms)
 
 

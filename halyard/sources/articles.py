@@ -92,7 +92,7 @@ def parse_replies(replies: DataFrame, column: str = "xml") -> DataFrame:
 
 def strip_markup(html):
     """Column: text without scripts, styles, comments and tags, white space joined."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", " ")
+    t = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
@@ -109,6 +109,25 @@ def ids_of(reply: dict) -> list[str]:
     return ids
 
 
+def check_raw(searches: list[tuple[dict, list[str]]], replies: DataFrame, archive: DataFrame, column: str = "xml") -> DataFrame:
+    """One row (queries, replies, records, excluded) if raw replies still make what is archived, else an error.
+
+    ``searches`` are search replies with the ids that are archived of each,
+    ``replies`` hold raw XML, ``archive`` the records.  Records are compared as
+    a bag, with all their columns, wherever they lie.
+    """
+    for number, (reply, ids) in enumerate(searches):
+        if ids_of(reply) != list(map(str, ids)):
+            raise ValueError(f"search {number} differs from its archived ids")
+    made, kept = parse_replies(replies, column), archive.select(*RECORD.names)
+    for one, other, fault in ((made, kept, "not archived"), (kept, made, "not in the replies")):
+        extra = one.exceptAll(other).first()
+        if extra is not None:
+            raise ValueError(f"record {extra['pmid']} is {fault}")
+    counts = kept.agg(F.count("*").alias("records"), F.count_if(F.col("exclusion").isNotNull()).cast("long").alias("excluded"))
+    return counts.select(F.lit(len(searches)).cast("long").alias("queries"), F.lit(replies.count()).cast("long").alias("replies"), "records", "excluded")
+
+
 def patiently(call: Callable, tries: int = 5, pause: float = 0.34, sleep: Callable[[float], None] = time.sleep):
     """call(), throttled; tried again after 1, 2, 4, ... s if it may pass: too many requests, a server's or the net's fault."""
     for attempt in range(tries):

@@ -90,3 +90,22 @@ def write_parquet(df: DataFrame, path: str, *by: str, overwrite: bool = False) -
 def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Gzipped JSON lines."""
     df.write.mode("overwrite" if overwrite else "errorifexists").option("compression", "gzip").json(path)
+
+
+def land_raw(payloads: DataFrame, path: str) -> None:
+    """Keep raw replies (name, payload) as they came, with their sha256; never over what is there."""
+    raw = payloads.select("name", F.col("payload").cast("binary").alias("payload"))
+    raw.withColumn("sha256", F.sha2("payload", 256)).write.mode("errorifexists").parquet(path)
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """(name, payload) of landed replies; content that does not have its sha256 any more is an error."""
+    raw = spark.read.parquet(path)
+    fault = F.raise_error(F.concat(F.lit("content differs: "), F.col("name"))).cast("binary")
+    return raw.select("name", F.when(F.sha2("payload", 256) == F.col("sha256"), F.col("payload")).otherwise(fault).alias("payload"))
+
+
+def write_json_array(df: DataFrame, path: str) -> None:
+    """A small table as one JSON array in one text file."""
+    rows = df.select(F.to_json(F.struct(*df.columns)).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    rows.coalesce(1).write.mode("errorifexists").text(path)
