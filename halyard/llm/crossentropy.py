@@ -215,7 +215,9 @@ def score_documents(documents: DataFrame, labels: DataFrame, share: float = SHAR
                 size = len(missed) + 1
                 nothing = np.zeros(size - 1)
                 # The first row is the document's own; its key is no pair, and another for each document.
-                held.append([np.full(size, index), np.concatenate((rows[index : index + 1] | np.int64(-(2**63)), pair[missed])), np.concatenate(([0], m[missed])), np.concatenate(([len(w)], nothing)), np.concatenate(([bits[1]], nothing)), np.concatenate(([bits[0]], nothing))])
+                own_key = rows[index : index + 1] | np.int64(-(2**63))
+                mine = ((own_key, pair[missed]), ([0], m[missed]), ([len(w)], nothing), ([bits[1]], nothing), ([bits[0]], nothing))
+                held.append([np.full(size, index), *map(np.concatenate, mine)])
             if not held:
                 continue
             index, pair, m, size, target, background = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -230,9 +232,12 @@ def score_documents(documents: DataFrame, labels: DataFrame, share: float = SHAR
     rest = rest.withColumn("w", F.col("pair") % number).join(F.broadcast(priors), "w").drop("w")
     met = scored.join(rest, "pair", "left")
     gain = lambda n, left, prior: F.coalesce(F.col("m") * F.log2(1 + (F.col(n) - F.col("m") * left) / F.col(prior)), F.lit(0.0))
-    met = met.select("row", "doc_id", "n_tokens", (F.coalesce("target_bits", F.lit(0.0)) - gain("n1", F.col("target"), "prior1")).alias("t"), (F.coalesce("background_bits", F.lit(0.0)) - gain("n", F.lit(1), "prior")).alias("b"))
+    t = F.coalesce("target_bits", F.lit(0.0)) - gain("n1", F.col("target"), "prior1")
+    b = F.coalesce("background_bits", F.lit(0.0)) - gain("n", F.lit(1), "prior")
+    met = met.select("row", "doc_id", "n_tokens", t.alias("t"), b.alias("b"))
     # Rows that repeat have one sum; as many come out as went in.
     sums = met.groupBy("row", "doc_id").agg(F.count("n_tokens").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.sum("t").alias("t"), F.sum("b").alias("b"))
     tokens = F.nullif(F.col("n_tokens") * F.col("copies"), F.lit(0).cast("long"))
-    out = sums.select("doc_id", "n_tokens", (F.col("t") / tokens).alias("target_loss"), (F.col("b") / tokens).alias("background_loss"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    out = sums.select("doc_id", "n_tokens", (F.col("t") / tokens).alias("target_loss"), (F.col("b") / tokens).alias("background_loss"), copy)
     return out.select("doc_id", "n_tokens", "target_loss", "background_loss", (F.col("target_loss") - F.col("background_loss")).alias("difference"))

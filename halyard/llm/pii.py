@@ -19,10 +19,10 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from halyard.llm.shared import bounded_batches, map_texts, table
+from halyard.llm.shared import bounded_batches, join_hot, map_texts, table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -199,18 +199,26 @@ def bootstrap(occurrences: DataFrame, rounds: int = 3, worth: float = 0.9, seeds
     def good(got: DataFrame) -> DataFrame:
         """Only patterns with enough support meet the counts of all."""
         scored = got.filter(F.col("support") >= seeds).join(whole, "pattern")
-        return scored.select("pattern", "kind", (F.col("mass") / (F.col("whole") + 1)).alias("worth")).filter(F.col("worth") >= worth)
+        scored = scored.select("pattern", "kind", (F.col("mass") / (F.col("whole") + 1)).alias("worth")).filter(F.col("worth") >= worth)
+        # Of two kinds the worthier, of equal ones the first by name.
+        best = F.max_by(F.struct("kind", "worth"), F.struct("worth", -F.array_position(F.array(*map(F.lit, sorted(KINDS))), F.col("kind"))))
+        return scored.groupBy("pattern").agg(best.alias("best")).select("pattern", "best.*")
 
     patterns = table(good(sure), "patterns")
     for r in range(rounds):
-        met = places.select("instance", "place", "n", F.explode("patterns").alias("pattern")).join(patterns, "pattern")
+        met = _met(places.select("instance", "place", "n", F.explode("patterns").alias("pattern")), patterns)
         gain = met.groupBy("instance", "place", "kind").agg(F.max(F.col("n") * F.col("worth")).alias("gain")).groupBy("instance", "kind").agg(F.sum("gain").alias("gain"))
         trust = gain.join(total, "instance").select("instance", "kind", (F.col("gain") / F.col("total")).alias("trust")).filter(F.col("trust") >= trusted)
         gained = graph.filter("kind is null").drop("kind").join(trust, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").cast("double").alias("mass"))
         both = sure.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("support").alias("support"), F.sum("mass").alias("mass"))
         patterns = table(good(both), f"patterns{r}")
-    best = Window.partitionBy("pattern").orderBy(F.desc("worth"), "kind")
-    return patterns.withColumn("_r", F.row_number().over(best)).filter("_r = 1").select("pattern", "kind")
+    return patterns.select("pattern", "kind")
+
+
+def _met(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """rows (pattern, ...) with what is known of their patterns; a pattern that stands in very many rows is not shuffled to one task."""
+    counts = rows.groupBy("pattern").agg(F.count("*").alias("rows"))
+    return join_hot(rows, patterns.join(counts, "pattern"), "pattern", "rows")
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
@@ -228,7 +236,9 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     each = found.select("row", F.explode("occurrences").alias("o")).select("row", "o.*")
     patterns = bootstrap(each)
     free = each.filter("kind is null").drop("kind").select("*", F.explode(F.concat("before", "after")).alias("pattern"))
-    added = free.join(patterns, "pattern").groupBy("row", "begin", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("begin", F.lit(len(KINDS)).alias("k"), F.concat_ws(":", F.concat(F.lit("ctx_"), "kind"), "begin", "end").alias("s"))).alias("added"))
+    kinds = _met(free, patterns).groupBy("row", "begin", "end").agg(F.min("kind").alias("kind"))
+    told = F.concat_ws(":", F.concat(F.lit("ctx_"), "kind"), "begin", "end")
+    added = kinds.groupBy("row").agg(F.collect_list(F.struct("begin", F.lit(len(KINDS)).alias("k"), told.alias("s"))).alias("added"))
     kind = F.array(*map(F.lit, KINDS))
     base = F.transform(
         F.filter(F.split("base", ","), lambda s: s != ""),

@@ -29,7 +29,10 @@ BINS = 16
 #: Function words of English, German, French and Spanish: running prose holds many.
 FUNCTION_WORDS = frozenset(
     w.encode()
-    for w in "the of and to in a is that it for on was as with be by are this at an der die das und zu den von mit ein im nicht ist sich auf für la le les des et un une dans que qui pour par sur el los las en y se del con no por su al de".split()
+    for w in (
+        "the of and to in a is that it for on was as with be by are this at an der die das und zu den von mit ein im nicht ist sich auf für "
+        "la le les des et un une dans que qui pour par sur el los las en y se del con no por su al de"
+    ).split()
 )
 TEXT_VIEW = 14
 META_VIEW = 3

@@ -66,7 +66,11 @@ def signature_set(text: str | None) -> np.ndarray:
     whole = after + CHAIN <= len(content)
     spots, after = anchor[whole], after[whole]
     if not len(spots):
-        own = words if len(words) else next(iter(hashing.word_hashes([text]))) if text.strip() else np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
+        own = words
+        if not len(own) and text.strip():
+            own = next(iter(hashing.word_hashes([text])))
+        if not len(own):
+            own = np.frombuffer(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), np.uint64)
         own = hashing.mix(own + np.arange(len(own), dtype=np.uint64)).sum(keepdims=True, dtype=np.uint64)
         return (own >> np.uint64(32)).astype(np.uint32)
     h = spots

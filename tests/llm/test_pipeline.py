@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from halyard.llm import decontaminate, lines, minhash, quality
 from tests.llm.helpers import odd
@@ -27,6 +28,7 @@ def test_stages(spark, tmp_path):
             assert kept == {r["doc_id"] for r in quality.score_quality(at, labels).filter("good = 1").collect()}
         elif name == "line dedup":
             whole = {r["doc_id"]: r["text"] for r in lines.dedup_lines(at).collect()}
+            assert got.count() < at.count() or sum(map(len, whole.values())) < sum(map(len, before.values()))
             assert {r["doc_id"]: r["text"] for r in got.collect()} == {d: t for d, t in whole.items() if t == before[d] or t.strip()}
         elif name == "near-duplicates":
             assert kept == {r["doc_id"] for r in minhash.near_duplicates(at).filter("kept").collect()} and got.count() == len(kept)
@@ -43,3 +45,29 @@ def test_odd_rows(spark):
     for _, stage in pipeline.STAGES:
         at = stage(spark, at, SF)
     at.collect()
+
+
+def test_empty_tables_and_further_columns(spark):
+    none = at = odd(spark).select("doc_id", "text", "lang", "source", "n_chars").limit(0)
+    extra = "row row2 key label bins found n_removed_lines n_words root id _r _r2 _d _ats".split()
+    wide = odd(spark).select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for _, stage in pipeline.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == none.columns and at.count() == 0
+        kept = stage(spark, wide, SF)
+        assert kept.columns == wide.columns and {tuple(r[c] for c in extra) for r in kept.collect()} <= {tuple(range(len(extra)))}
+    assert pipeline.STAGES[-1][1](spark, at, SF).count() == 0
+
+
+def test_repeated_rows_and_ties(spark):
+    """Rows that repeat are decided alike, and of a tie for the least id one row stays."""
+    text = "the same sentence of many common words stands in every one of these rows and is read as one"
+    docs = spark.createDataFrame([(d, text + t, "en", "src1", 99) for d, t in ((4, ""), (4, ""), (2, " again"), (2, ""), (9, ""))], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    assert stages["quality classifier"](spark, docs, SF).count() in (0, 5)
+    near = stages["near-duplicates"](spark, docs, SF).collect()
+    assert {r["doc_id"] for r in near} == {2} and len({r["text"] for r in near}) == len(near)
+    assert stages["decontamination"](spark, docs, SF).count() == 5
+    left = stages["line dedup"](spark, docs, SF).collect()
+    assert [r["doc_id"] for r in left] == [2]
+    assert stages["packing"](spark, docs, SF).count() == 5
