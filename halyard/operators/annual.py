@@ -24,7 +24,9 @@ def weighted_series(df: DataFrame, keys: list[str], value: str = "cos", weight:
     """(keys, year, n, weight_sum, mean, weighted_mean); a weight that is not finite and positive is an error."""
     w = F.when(F.col(weight) > 0, V.finite(F.col(weight), "weight")).otherwise(F.raise_error(F.lit("weight is not positive")).cast("double"))
     rows = df.filter(in_window(F.col("year"), first, last)).withColumn("_w", w).withColumn("_v", V.finite(F.col(value), "value"))
-    out = rows.groupBy(*keys, "year").agg(F.count("*").cast("long").alias("n"), F.sum("_w").alias("weight_sum"), F.avg("_v").alias("mean"), (F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("weighted_mean"))
+    weighted = F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")
+    sums = [F.count("*").cast("long").alias("n"), F.sum("_w").alias("weight_sum"), F.avg("_v").alias("mean"), weighted.alias("weighted_mean")]
+    out = rows.groupBy(*keys, "year").agg(*sums)
     return out.filter(F.col("n") >= floor)
 
 
@@ -84,4 +86,6 @@ def decomposition(df: DataFrame, keys: list[str], anchor: list[float], vector: s
     unit = df.withColumn("_u", V.unit(F.col(vector)))
     c = centroids(unit, keys, "_u").filter(F.col("n") >= floor)
     length = V.norm(F.col("centroid"))
-    return c.select(*keys, "n", V.dot(F.col("centroid"), a).alias("mean_cosine"), length.alias("centroid_norm"), (V.dot(F.col("centroid"), a) / F.nullif(length, F.lit(0.0))).alias("centroid_anchor_cosine"))
+    along = V.dot(F.col("centroid"), a)
+    angle = along / F.nullif(length, F.lit(0.0))
+    return c.select(*keys, "n", along.alias("mean_cosine"), length.alias("centroid_norm"), angle.alias("centroid_anchor_cosine"))

@@ -37,7 +37,12 @@ def numeric_index(tables: dict[str, tuple[DataFrame, list[str]]], skip: frozense
         numbers = [c for c, t in df.dtypes if c not in keys and c not in skip and t.split("(")[0] in ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")]
         long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in numbers]).unpivot(keys, numbers, "metric", "value")
         path = [F.col(k).cast("string") for k in keys[1:]]
-        part = long.select(F.col(keys[0]).cast("string").alias("case"), F.concat_ws(".", F.lit(name), *path, "metric").alias("metric"), finite(F.col("value"), name).alias("value"), F.concat(F.lit(name + ":"), "metric").alias("source"))
+        part = long.select(
+            F.col(keys[0]).cast("string").alias("case"),
+            F.concat_ws(".", F.lit(name), *path, "metric").alias("metric"),
+            finite(F.col("value"), name).alias("value"),
+            F.concat(F.lit(name + ":"), "metric").alias("source"),
+        )
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -140,7 +140,9 @@ def phase_null(df: DataFrame, keys: list[str], x: str = "year", y: str = "mean",
     made = reps.withColumn("made", phase_surrogate(F.col("ys"), F.col("waves"), phases))
     points = F.zip_with("p", "made", lambda q, v: F.struct(q["x"].alias("x"), v.alias("y")))
     far = F.abs(S.kendall(points)) >= F.abs("tau") - 1e-12
-    out = made.select(*keys, F.size("p").cast("long").alias("n_points"), "tau", far.alias("far")).groupBy(*keys, "n_points", "tau").agg(F.count_if("far").cast("long").alias("exceed"), F.count("*").cast("long").alias("replicates"))
+    told = made.select(*keys, F.size("p").cast("long").alias("n_points"), "tau", far.alias("far"))
+    counts = [F.count_if("far").cast("long").alias("exceed"), F.count("*").cast("long").alias("replicates")]
+    out = told.groupBy(*keys, "n_points", "tau").agg(*counts)
     return out.withColumn("p", S.add_one_p(F.col("exceed"), F.col("replicates")))
 
 
