@@ -15,7 +15,7 @@ from halyard.llm.lines import dedup_lines
 from halyard.llm.minhash import one_of_each
 from halyard.llm.packing import pack
 from halyard.llm.quality import keep_good
-from halyard.llm.shared import free, table
+from halyard.llm.shared import free, settled
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("quality classifier", quality), ("line dedup", lines), ("near-duplicates", near), ("decontamination", decontaminate), ("packing", packing)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("near-duplicates", near),
+    ("decontamination", decontaminate),
+    ("packing", packing),
+]
 
 #: Classifier, SimHash groups and token ids are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -54,5 +60,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -112,6 +112,9 @@ def key_sizes(members: DataFrame, weight: Column | None = None) -> DataFrame:
     return table(sizes.filter("rows > 1"), "keys")
 
 
+#: Characters of text that a block holds: a task compares two, as arrays several times as large.
+TEXT_BLOCK = 2_000_000
+
 Links = Callable[[Iterator[Group]], Iterator[tuple[Group, int, int]]]
 
 

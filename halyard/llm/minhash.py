@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
-from halyard.llm.groups import Group, UnionFind, compare_in_blocks, components, key_sizes, one_by_one
+from halyard.llm.groups import TEXT_BLOCK, Group, UnionFind, compare_in_blocks, components, key_sizes, one_by_one
 from halyard.llm.shared import KeyFilter, bounded_batches, free, join_hot, map_texts, table, tidy
 
 SLOTS = 256
@@ -233,7 +233,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     # Only texts that stand for a class are shuffled, by a key that few rows share.
     found = docs.select("row", "text").filter(KeyFilter(held, "row").column(F.col("row"))).join(held, "row").select("key", "id", "text")
     texts = table(_with_set(found, words), "neighbours")
-    links = compare_in_blocks(texts, one_by_one(_confirmed(words, percent)), 1000, F.length("text"), 8_000_000)
+    links = compare_in_blocks(texts, one_by_one(_confirmed(words, percent)), 1000, F.length("text"), TEXT_BLOCK)
     roots = components(links).select(F.col("node").alias("set_id"), "root")
     joined = classes.select("set_id", "least").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     joined = table(joined, "joined")

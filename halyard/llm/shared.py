@@ -82,6 +82,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return cut(df, name)[0]
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``build`` returns, written; the tables that were written on the way there are dropped, as nothing reads them any more."""
+    before = len(_WRITTEN)
+    out, where = cut(build(), name)
+    for spark, path in _WRITTEN[before:]:
+        if path != where:
+            drop(spark, path)
+    _WRITTEN[before:] = [(out.sparkSession, where)]
+    return out
+
+
 def free(names: list[str], *wanted: str) -> list[str]:
     """Column names like ``wanted`` that a caller's table does not hold, whatever the case of its letters."""
     taken, out = {n.lower() for n in names}, []
@@ -199,6 +210,7 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     def tidied(it: Iterator) -> Iterator:
         while _rest:
             _rest.pop().cancel()
+        pa.set_memory_pool(pa.system_memory_pool())  # the one that trimming reaches
         try:
             yield from run(it)
         finally:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halyard.llm import hashing
-from halyard.llm.groups import Group, compare_in_blocks, components, one_by_one
+from halyard.llm.groups import TEXT_BLOCK, Group, compare_in_blocks, components, one_by_one
 from halyard.llm.shared import bounded_batches, free, join_hot, table, tidy
 
 #: Common words that anchor chains, in English, German, French and Spanish, and words that chains skip.
@@ -180,7 +180,7 @@ def alike(documents: DataFrame, least: float = 0.8) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key) if key else np.empty(0, np.int64)), batch.column(0).take(take), batch.column(1).take(take)], ["key", "id", "spots"])
 
     members = classes.select("id", "spots").mapInArrow(tidy(keys), "key long, id string, spots binary")
-    roots = components(compare_in_blocks(members, one_by_one(_pairs(least)), 1000, F.length("spots"), 64_000_000)).withColumnRenamed("node", "id")
+    roots = components(compare_in_blocks(members, one_by_one(_pairs(least)), 1000, F.length("spots"), 4 * TEXT_BLOCK)).withColumnRenamed("node", "id")
     grouped = table(classes.select("id", "fingerprint", "rows", "least").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "spot_groups")
     low = grouped.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
     fate = join_hot(grouped.select("root", "fingerprint", "rows"), low, "root", "n").select("fingerprint", "rows", "component_id")
