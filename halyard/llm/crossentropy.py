@@ -27,6 +27,8 @@ from halyard.llm.shared import KeyFilter, bounded_batches, table, tidy
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _BATCH = 2_000_000
+#: Rows that a task hands on at a time.
+_ROWS = 200_000
 _START = np.array([1], np.uint64)
 #: Words with a smaller share of all tokens are one unknown word: at most 1 / SHARE words have a number, in a corpus of any size.
 SHARE = 5e-6
@@ -58,17 +60,25 @@ class Vocabulary:
         return np.concatenate(([len(self) + 1], ids[:-1])) if len(ids) else ids
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and how often each occurs; the array is sorted where it is."""
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.diff(first, append=len(keys)).astype(np.int64)
+
+
 def _tallied(docs: DataFrame, make, names: tuple[str, str, str]) -> DataFrame:
     """(key, n, n1): occurrences of the keys that ``make`` finds in texts (text, target), of all and of target texts."""
     schema = ", ".join(f"{x} long" for x in names)
 
     def add_up(keys: list[np.ndarray], marks: list[int]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
+        marked = [k for k, mark in zip(keys, marks, strict=True) if mark]
+        key, n = _counted(np.concatenate(keys))
         n1 = np.zeros(len(key), np.int64)
-        if marked := [k for k, mark in zip(keys, marks, strict=True) if mark]:
-            there, times = np.unique(np.concatenate(marked), return_counts=True)
+        if marked:
+            there, times = _counted(np.concatenate(marked))
             n1[np.searchsorted(key, there)] = times
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(n1)], list(names))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n), pa.array(n1)], list(names))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = make()
@@ -191,10 +201,17 @@ def score_documents(documents: DataFrame, labels: DataFrame, share: float = SHAR
     rest = inventory.filter(F.col("n") < least)
     sieve = KeyFilter(rest, "pair", 1 << 26)
 
+    def told(batch: pa.RecordBatch, held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        index, pair, m, size, target, background = (np.concatenate(x) for x in zip(*held, strict=True))
+        take, first = pa.array(index), pair < 0
+        own = [pa.array(x, mask=~first) for x in (size.astype(np.int64), target, background)]
+        return pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), pa.array(pair), pa.array(m.astype(np.int32)), *own], [x.split()[0] for x in _ROW.split(", ")])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, (often, n, n1) = sent_words.value, sent.value
         for batch in it:
             held: list[list[np.ndarray]] = []
+            ready = 0
             rows = batch.column(0).to_numpy()
             for index, w in enumerate(_words(batch.column(3).to_pylist())):
                 ids = words.vocab.ids(w)
@@ -218,13 +235,12 @@ def score_documents(documents: DataFrame, labels: DataFrame, share: float = SHAR
                 own_key = rows[index : index + 1] | np.int64(-(2**63))
                 mine = ((own_key, pair[missed]), ([0], m[missed]), ([len(w)], nothing), ([bits[1]], nothing), ([bits[0]], nothing))
                 held.append([np.full(size, index), *map(np.concatenate, mine)])
-            if not held:
-                continue
-            index, pair, m, size, target, background = (np.concatenate(x) for x in zip(*held, strict=True))
-            take = pa.array(index)
-            first = pair < 0
-            numbers = [pa.array(pair), pa.array(m.astype(np.int32)), pa.array(size.astype(np.int64), mask=~first), pa.array(target, mask=~first), pa.array(background, mask=~first)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(3)), *numbers], [x.split()[0] for x in _ROW.split(", ")])
+                ready += size
+                if ready > _ROWS:
+                    yield told(batch, held)
+                    held, ready = [], 0
+            if held:
+                yield told(batch, held)
 
     scored = marked.select("row", "doc_id", "target", "text").mapInArrow(tidy(run), _ROW)
     number = one.vocab.width
