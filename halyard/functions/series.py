@@ -33,6 +33,17 @@ def kendall(points: Column) -> Column:
     return F.aggregate(pairs(points), start, add, lambda acc: acc["s"] / F.nullif(F.sqrt(acc["nx"] * acc["ny"]), zero))
 
 
+def own_order_tau(values: Column) -> Column:
+    """Kendall's tau-b of an array of numbers against their places; null if all are equal."""
+
+    def of(signs: Column) -> Column:
+        add = lambda f: F.aggregate(signs, F.lit(0.0), lambda a, s: a + f(s))
+        return add(lambda s: s) / F.nullif(F.sqrt(F.size(signs) * add(F.abs)), F.lit(0.0))
+
+    signs = F.flatten(F.transform(values, lambda p, i: F.transform(F.slice(values, i + 2, F.size(values)), lambda q: F.signum(q - p))))
+    return F.element_at(F.transform(F.array(signs), of), 1)
+
+
 def median(values: Column) -> Column:
     """Of an array of doubles; null if it is empty."""
     ordered = F.array_sort(values)

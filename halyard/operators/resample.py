@@ -114,16 +114,20 @@ def phase_surrogate(ys: Column, waves: Column, phases: Column) -> Column:
     n = F.size(ys)
     mean = F.aggregate(ys, F.lit(0.0), lambda a, y: a + y) / n
 
-    def at(t: Column) -> Column:
-        def wave(amplitude: Column, i: Column) -> Column:
-            k = i + 1
-            last = k * 2 == n
-            turn = F.lit(2 * math.pi) * k * t / n + F.when(last, F.lit(0.0)).otherwise(F.get(phases, i))
-            return amplitude * F.cos(turn) * F.when(last, F.lit(1.0)).otherwise(F.lit(2.0)) / n
+    def made(bound: Column) -> Column:
+        def at(t: Column) -> Column:
+            def wave(amplitude: Column, i: Column) -> Column:
+                k = i + 1
+                last = k * 2 == n
+                turn = F.lit(2 * math.pi) * k * t / n + F.when(last, F.lit(0.0)).otherwise(F.get(bound["phases"], i))
+                return amplitude * F.cos(turn) * F.when(last, F.lit(1.0)).otherwise(F.lit(2.0)) / n
 
-        return F.aggregate(F.transform(waves, wave), mean, lambda a, w: a + w)
+            return F.aggregate(F.transform(waves, wave), bound["mean"], lambda a, w: a + w)
 
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+        return F.transform(F.sequence(F.lit(0), n - 1), at)
+
+    # As an element of an array the phases and the mean are computed once, not for each point.
+    return F.element_at(F.transform(F.array(F.struct(phases.alias("phases"), mean.alias("mean"))), made), 1)
 
 
 def phase_null(df: DataFrame, keys: list[str], x: str = "year", y: str = "mean", replicates: int = 5000) -> DataFrame:
@@ -137,9 +141,8 @@ def phase_null(df: DataFrame, keys: list[str], x: str = "year", y: str = "mean",
     g = g.withColumn("ys", F.transform("p", lambda q: q["y"])).withColumn("tau", S.kendall(F.col("p"))).withColumn("waves", amplitudes(F.col("ys")))
     reps = _replicates(g, replicates).repartition(*keys, "rep")
     phases = F.transform("waves", lambda _, i: draw(*[F.col(k) for k in keys], i + 1, F.col("rep")) * (2 * math.pi / (1 << 32)))
-    made = reps.withColumn("made", phase_surrogate(F.col("ys"), F.col("waves"), phases))
-    points = F.zip_with("p", "made", lambda q, v: F.struct(q["x"].alias("x"), v.alias("y")))
-    far = F.abs(S.kendall(points)) >= F.abs("tau") - 1e-12
+    made = reps.withColumn("made", F.explode(F.array(phase_surrogate(F.col("ys"), F.col("waves"), phases))))
+    far = F.abs(S.own_order_tau(F.col("made"))) >= F.abs("tau") - 1e-12
     told = made.select(*keys, F.size("p").cast("long").alias("n_points"), "tau", far.alias("far"))
     counts = [F.count_if("far").cast("long").alias("exceed"), F.count("*").cast("long").alias("replicates")]
     out = told.groupBy(*keys, "n_points", "tau").agg(*counts)
