@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.groups import TEXT_BLOCK, Group, UnionFind, compare_in_blocks, components, key_sizes, one_by_one
-from halyard.llm.shared import KeyFilter, bounded_batches, free, join_hot, map_texts, table, tidy
+from halyard.llm.shared import KeyFilter, bounded_batches, free, join_hot, map_texts, settled, table, tidy
 
 SLOTS = 256
 _LOW = np.uint64(0x0000FFFFFFFFFFFF)
@@ -178,7 +178,8 @@ def one_of_each(documents: DataFrame, words: int = 5, percent: int = 80) -> Data
     """
     names = documents.columns
     r, r2 = free(names, "_r", "_r2")
-    kept = near_duplicates(documents, words, percent).filter("kept").select(F.col("row").alias(r), F.col("row2").alias(r2)).distinct()
+    columns = [F.col("row").alias(r), F.col("row2").alias(r2)]
+    kept = settled(lambda: near_duplicates(documents, words, percent).filter("kept").select(*columns).distinct(), "kept")
     keyed = documents.withColumns(dict(zip((r, r2), row_keys(), strict=True)))
     # The join has brought equal rows together, so dropping repeats moves nothing again.
     return keyed.join(kept, [r, r2], "left_semi").dropDuplicates([r, r2]).drop(r, r2)
@@ -224,8 +225,21 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     one, two = row_keys()
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("row"), two.alias("row2"), F.col("text").cast("string").alias("text"))
     sets = table(signatures(docs, words, percent), "signatures")
+    # What leads to the components is dropped once they are known.
+    component = settled(lambda: _component_of_sets(docs, sets, words, percent), "component")
+    columns = ["doc_id", "n_shingles", "component_id", "row", "row2"]
+    full = join_hot(sets.select("doc_id", "n_shingles", "set_id", "row", "row2").filter("set_id is not null"), component, "set_id", "n", written=True).select(*columns)
+    bare = sets.filter("set_id is null").withColumn("component_id", F.col("doc_id")).select(*columns)
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return full.union(bare).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row", "row2")
+
+
+def _component_of_sets(docs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
+    """(set_id, component_id, n): the least doc_id that each set reaches, and the number of rows that have the set."""
     firsts = [F.first(c).alias(c) for c in ("n_shingles", "keys", "sketch", "few")]
-    classes = table(sets.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("row").alias("own"), *firsts), "classes")
+    whole = sets.filter("set_id is not null").groupBy("set_id")
+    # A set may be that of a third of all rows: the number of its rows tells.
+    classes = table(whole.agg(F.min("doc_id").alias("least"), F.min("row").alias("own"), F.count("*").alias("n"), *firsts), "classes")
     sizes = key_sizes(classes.select(F.explode("keys").alias("key")))
     likely = components(compare_in_blocks(_members(classes, sizes), one_by_one(_likely(percent)), 2000, sizes=sizes))
     likely = table(likely.select(F.col("node").alias("id"), F.col("root").alias("key")), "likely")
@@ -235,18 +249,10 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80) ->
     texts = table(_with_set(found, words), "neighbours")
     links = compare_in_blocks(texts, one_by_one(_confirmed(words, percent)), 1000, F.length("text"), TEXT_BLOCK)
     roots = components(links).select(F.col("node").alias("set_id"), "root")
-    joined = classes.select("set_id", "least").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    joined = classes.select("set_id", "least", "n").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     joined = table(joined, "joined")
-    least = joined.groupBy("root").agg(F.count("*").alias("n"), F.min("least").alias("component_id"))
-    component = join_hot(joined.select("set_id", "root"), least, "root", "n").select("set_id", "component_id")
-    # A set may be that of a third of all rows: the number of its rows tells.
-    rows = sets.filter("set_id is not null").groupBy("set_id").agg(F.count("*").alias("n"))
-    component = component.join(rows, "set_id")
-    columns = ["doc_id", "n_shingles", "component_id", "row", "row2"]
-    full = join_hot(sets.select("doc_id", "n_shingles", "set_id", "row", "row2").filter("set_id is not null"), component, "set_id", "n").select(*columns)
-    bare = sets.filter("set_id is null").withColumn("component_id", F.col("doc_id")).select(*columns)
-    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return full.union(bare).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "row", "row2")
+    least = joined.groupBy("root").agg(F.count("*").alias("sets"), F.min("least").alias("component_id"))
+    return join_hot(joined.select("set_id", "root", "n"), least, "root", "sets").select("set_id", "component_id", "n")
 
 
 def _with_set(rows: DataFrame, k: int) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from halyard.llm import hashing
 from halyard.llm.fit import LABELLED, labelled_sample, logistic, sigmoid
-from halyard.llm.shared import KeyFilter, bounded_batches, free, table, tidy
+from halyard.llm.shared import KeyFilter, bounded_batches, free, settled, table, tidy
 
 BINS = 16
 #: Function words of English, German, French and Spanish: running prose holds many.
@@ -235,14 +235,18 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, *
     an empty table gives none.  Only rows that may be rejected are shuffled.
     """
     names = documents.columns
-    model, coded = train(documents, labels, **how)
+    r, r2 = free(names, "_r", "_r2")
 
-    @F.pandas_udf("boolean")
-    def bad(bins: pd.Series) -> pd.Series:
-        return pd.Series(model.probability(_matrix(bins)) < threshold)
+    def rejects() -> DataFrame:
+        model, coded = train(documents, labels, **how)
 
-    r, r2 = free(names, "_r", "_r2")
-    rejected = table(coded.filter(bad("bins")).select(F.col("row").alias(r), F.col("row2").alias(r2)).distinct(), "rejected")
+        @F.pandas_udf("boolean")
+        def bad(bins: pd.Series) -> pd.Series:
+            return pd.Series(model.probability(_matrix(bins)) < threshold)
+
+        return coded.filter(bad("bins")).select(F.col("row").alias(r), F.col("row2").alias(r2)).distinct()
+
+    rejected = settled(rejects, "rejected")
     typed = [(F.col(f"`{c}`") if c in names else F.lit(None)).cast(t) for c, t in _READ.items()]
     keyed = documents.withColumns({r: F.xxhash64(*typed), r2: F.xxhash64(F.lit("2"), *reversed(typed))})
     may = KeyFilter(rejected, r).column(F.col(r))
