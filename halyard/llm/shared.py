@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "2m") -> None:
     """Send the package, and let no Arrow batch to Python be much larger than ``size``: a worker holds few texts at a time.
 
     The setting stays with the session, as results are lazy and run under it.
