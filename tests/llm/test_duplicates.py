@@ -197,6 +197,47 @@ def test_similar_is_the_edit_rule():
     assert missed <= linked / 100  # where an alignment breaks up long common runs
 
 
+def test_similar_loses_no_pair():
+    """Texts of any length that fall out of step, or whose alignment is dear, are settled by the distance."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz 0é"
+    pairs = []
+    for n in (5, 63, 64, 65, 130, 310, 500, 900):
+        for step in (9, 10, 11, 13, 40):
+            a = "".join(rng.choice(letters) for _ in range(n))
+            strewn = "".join(rng.choice("XY") if i % step == 0 else c for i, c in enumerate(a))
+            moved = a[n // 12 :] + a[: n // 24] if step > 11 else a[:40] + "".join(rng.choice(letters) for _ in range(n // step)) + a[40:]
+            pairs += [(a, strewn), (moved, a), (strewn, moved)]
+    want = [100 * (max(map(len, p)) - levenshtein(*p)) >= 90 * max(map(len, p)) for p in pairs]
+    assert [lines.similar(*p, 90) for p in pairs] == want and 20 < sum(want) < len(want) - 20
+    maybe = lines._maybe([(lines._kinds(a), lines._kinds(b)) for a, b in pairs], 90)
+    assert all(m or not w for m, w in zip(maybe, want, strict=True)) and sum(maybe) < len(want) - 10
+
+
+def test_groups_side_by_side():
+    """Links of many groups that are searched at once connect what all pairs of each group connect."""
+    rng = random.Random(13)
+    found, all_ = [], []
+    for size in [2] * 30 + [3, 5, 9, 40, 1]:
+        base = " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(rng.choice([4, 12, 60])))
+        text = []
+        for _ in range(size):
+            b = list(base)
+            for _ in range(rng.randint(0, len(b) // 9)):
+                b[rng.randrange(len(b))] = rng.choice(["x", "", "yz"])
+            text.append("".join(b).encode())
+        sims = lines.simhashes(lines.slots(text))
+        near = lambda i, j: size == 2 or np.bitwise_count(sims[i] ^ sims[j]).sum() <= lines.RADIUS  # noqa: B023, E731
+        links = [(i, j) for i in range(size) for j in range(i) if near(i, j) and lines.similar(text[i].decode(), text[j].decode(), 90)]
+        found.append({"line": np.array(text, object)})
+        all_.append(groups(size, links))
+    got = [[] for _ in found]
+    for group, i, j in lines._edits(90)(iter(found)):
+        got[next(k for k, g in enumerate(found) if g is group)].append((i, j))
+    assert [groups(len(a), g) for a, g in zip(all_, got, strict=True)] == all_
+    assert any(len(set(a)) < len(a) for a in all_) and any(len(set(a)) > 1 for a in all_)
+
+
 def line_texts():
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
