@@ -115,6 +115,20 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_by_shuffles_and_in_one_task(spark):
+    rng = random.Random(5)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)]
+    root = groups(300, links)
+    want = {x: root[x] for a, b in links if a != b for x in (a, b)}
+    edges = spark.createDataFrame([*links, (None, 1)], "a long, b long")
+    for few in (0, 1000):
+        assert {r["node"]: r["root"] for r in components(edges, few).collect()} == want
+        name = lambda x: f"{x:03}\u00ff".encode("latin-1") if x is not None else None
+        named = spark.createDataFrame([(name(a), name(b)) for a, b in links], "a binary, b binary")
+        assert {bytes(r["node"]): bytes(r["root"]) for r in components(named, few).collect()} == {name(a): name(b) for a, b in want.items()}
+    assert components(edges.limit(0), 0).count() == 0
+
+
 def test_blocks_look_at_every_pair(spark):
     members = spark.range(60).select(F.lit(1).alias("key"), F.col("id"))
     every = lambda g: ((i, j) for i in range(len(g["id"])) for j in range(i))
@@ -279,6 +293,29 @@ def test_lines_against_all_pairs(spark):
     assert [got[d]["n_chars"] for d in range(len(texts))] == list(map(len, want))
 
 
+def test_large_neighbourhoods_are_parted(spark, monkeypatch):
+    """A chain of likely pairs that is longer than what is verified together is met by its bands, not all by all."""
+    rng = random.Random(17)
+    words = [" ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(6)) for _ in range(40)]
+    chain = [" ".join(words[i : i + 12]) for i in range(28)]
+    texts = [*chain, *(c.replace(c[100:105], "zzzzz") for c in chain)]
+    want = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(table(spark, texts)).collect())
+    largest = {}
+    write = lines.table
+
+    def watched(df, name):
+        out = write(df, name)
+        if name in ("likely_lines", "parted_lines"):
+            largest[name] = out.groupBy("key").count().agg(F.max("count")).first()[0]
+        return out
+
+    monkeypatch.setattr(lines, "NEIGHBOURS", 20)
+    monkeypatch.setattr(lines, "table", watched)
+    got = sorted((r["doc_id"], r["text"]) for r in lines.dedup_lines(table(spark, texts)).collect())
+    assert got == want and [t for _, t in got].count("") >= 28
+    assert largest["parted_lines"] <= 20 < largest["likely_lines"]
+
+
 def test_odd_lines(spark):
     got = lines.dedup_lines(odd(spark)).collect()
     assert len(got) == 9 and sum(r["n_removed_lines"] for r in got) == 0
