@@ -1,14 +1,16 @@
-"""Token ids of whole texts, equal to the public tokenizer's, by a cache over words.
+"""Token ids of whole texts, equal to the public tokenizer's, by a cache over pieces.
 
 The tokenizer drops white space and never joins across it, so a text's ids are
-its words' ids in order.  A word of plain printable characters is lower-cased,
-split by the tokenizer's own pattern, and its pieces go to the BPE model
-directly; any other word, and a text that names a special token, goes through
-the tokenizer itself.
+its words' ids in order.  A text of plain printable characters is lower-cased
+and split by the tokenizer's own pattern, and its pieces go to the BPE model
+directly.  Where other characters stand in it, it is taken word by word, and
+its words with such characters go through the tokenizer itself; so does a text
+that names a special token.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Callable
 
@@ -20,6 +22,9 @@ from halyard.llm.shared import FORGOTTEN
 #: The tokenizer's split pattern, as its file states it.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ſ]+")
+#: What a plain text does not hold, and the pattern for lower-cased plain texts.
+_OTHER = re.compile(r"[^\t-\r\x20-\x7eÀ-ſ]")
+_PIECES = re.compile(r"[a-zß-öø-ſ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9ß-öø-ſ]+")
 #: Python splits at these, the tokenizer does not.
 _ODD = regex.compile("[\x1c-\x1f]")
 _MOST = 250_000
@@ -77,7 +82,9 @@ class WordTokenizer:
         return b"".join([self.pieces[p] for p in _SPLIT.findall(word.lower())])
 
     def _piece(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.split()))
+        if _OTHER.search(text):
+            return b"".join(map(self.words.__getitem__, text.split()))
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
     def ids(self, text: str | None) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers; none for null."""

@@ -208,6 +208,16 @@ def test_ids_equal_the_tokenizer(spark):
         assert np.frombuffer(t.ids(text), "<u4").tolist() == t.whole.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_texts_are_split_as_a_whole():
+    """No word of a plain text is met alone, and the pieces are those of the tokenizer's own pattern."""
+    t = tokens.WordTokenizer(VOCABULARY)
+    plain = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0x180))]
+    for text in (s.replace("{}", c) for c in plain for s in ("{}", "a{} {}a", "'{}", "''{}s", "0{}0 é{}.", "'r{}\t'l{}l\n")):
+        assert t.ids(text) == np.array(t.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not t.words
+    assert t.ids("plain words \u2014 and a dash") and "\u2014" in t.words
+
+
 def check_packing(pieces, texts, size):
     t = tokens.WordTokenizer(VOCABULARY)
     sequences = defaultdict(list)
