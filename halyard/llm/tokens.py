@@ -27,7 +27,7 @@ _OTHER = re.compile(r"[^\t-\r\x20-\x7eÀ-ſ]")
 _PIECES = re.compile(r"[a-zß-öø-ſ]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^\sa-z0-9ß-öø-ſ]+")
 #: Python splits at these, the tokenizer does not.
 _ODD = regex.compile("[\x1c-\x1f]")
-_MOST = 250_000
+_MOST = 120_000
 _PIECE = 1 << 20
 
 
