@@ -265,6 +265,36 @@ def test_terms_in_context(spark):
     assert (row["displacement"], row["cos_alone"], row["pull"]) == pytest.approx((0, 1, 0), abs=1e-9)
 
 
+def test_only_the_texts_that_count_are_encoded(spark, tmp_path):
+    from halyard.operators import encode as E
+
+    texts = [None, "nothing", "", *[f"a knee {i} and a big knee and knee" if i % 3 else f"the big\u00a0KNEE {i}" for i in range(300)]]
+    docs = spark.createDataFrame([(None if i == 5 else i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    folder = str(tmp_path)
+
+    def make():
+        import uuid
+        from pathlib import Path
+
+        encoder = E.neighbour_encoder()
+
+        def run(batch):
+            Path(folder, uuid.uuid4().hex).write_text("\n".join(["text"] * len(batch)))
+            return encoder(batch)
+
+        run.tokens = encoder.tokens
+        return run
+
+    terms = ["knee", "big knee", "the", "hip"]
+    got = {r["term"]: (r["n"], r["vector"]) for r in E.context_vectors(docs, terms, make, ["doc_id"], most=20, least=2).collect()}
+    encoded = sum(len(p.read_text().split()) for p in tmp_path.iterdir())
+    want = {r["term"]: (r["n"], r["vector"]) for r in E.in_context(E.occurrence_vectors(docs, terms, E.neighbour_encoder), ["doc_id"], most=20, least=2).collect()}
+    assert set(got) == {"knee", "big knee", "the"}
+    for term, (n, vector) in want.items():
+        assert got[term][0] == n and got[term][1] == pytest.approx(vector)
+    assert 0 < encoded <= 60
+
+
 def test_number_formats(spark):
     from halyard.functions import series as S
 
