@@ -59,21 +59,55 @@ def check_keys_equal(left: DataFrame, right: DataFrame, *keys: str) -> None:
             raise ValueError(f"only on the {side}: {alone.asDict()}")
 
 
+#: Rows of a range that with_ordinal sorts at once, and keys read for each bound between ranges.
+RANGE, KEYS = 5_000, 50
+
+
+def _ranges(df: DataFrame, order: tuple[str, ...], most: int) -> Column:
+    """The range, from 0, that a row's key falls into: a function of the key alone.
+
+    Bounds are quantiles of keys drawn by hash, and literals of the plan.  They
+    make ranges about even; which keys are drawn decides nothing else.
+    """
+    rows = df.count()
+    ranges = min(most, -(-rows // RANGE))
+    if ranges < 2:
+        return F.lit(0)
+    drawn = df.select(*order).filter(F.pmod(F.xxhash64(*order), F.lit(max(1, rows // (ranges * KEYS)))) == 0)
+    keys = drawn.distinct().orderBy(*order).collect()
+    bounds = [keys[i] for i in sorted({len(keys) * k // ranges for k in range(1, ranges)})] if keys else []
+    key = F.struct(*[F.col(o) for o in order])
+
+    def tree(low: int, high: int) -> Column:
+        """The number of bounds at or below the key, which are at least ``low`` and at most ``high``."""
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        bound = F.struct(*[F.lit(bounds[mid][i]).cast(df.schema[o].dataType).alias(o) for i, o in enumerate(order)])
+        return F.when(key < bound, tree(low, mid)).otherwise(tree(mid + 1, high))
+
+    return tree(0, len(bounds))
+
+
 def with_ordinal(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
     """Row numbers from 0 in a total order, without one task that sees all rows.
 
-    Rows are sorted by range; only the sizes of the ranges, one for each
-    partition, come to the driver.
+    A row's place is its place in its range and the sizes of the ranges before.
+    The range is a function of the row's key, not of the task that holds it: a
+    plan that is run again, or in part, gives each row the same number.
+    (repartitionByRange draws its bounds anew each time it runs.)  Only the
+    sizes of the ranges and the keys that bounds are made of come to the driver.
     """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    part = F.shiftright("_m", 33)
-    sizes = {r["p"]: r["n"] for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = _ranges(df, order, most)
+    sizes = {r["p"]: r["n"] for r in df.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     offsets, total = {}, 0
     for p in sorted(sizes):
         offsets[p], total = total, total + sizes[p]
-    table = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]) if offsets else F.create_map().cast("map<bigint,int>")
-    return ranged.withColumn(name, (F.coalesce(F.try_element_at(table, part), F.lit(0)) + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_m")
+    table = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair]) if offsets else F.create_map().cast("map<int,bigint>")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    ranged = df.withColumn("_p", part).withColumn("_k", place)
+    return ranged.withColumn(name, (F.coalesce(F.try_element_at(table, F.col("_p")), F.lit(0)) + F.col("_k")).cast("long")).drop("_p", "_k")
 
 
 def in_window(year: Column, first: int = 2000, last: int = 2024) -> Column:

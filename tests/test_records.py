@@ -295,6 +295,39 @@ def test_only_the_texts_that_count_are_encoded(spark, tmp_path):
     assert 0 < encoded <= 60
 
 
+def _big_enough(spark, folder, rows=300_000):
+    """Documents and vectors whose ranges Spark would draw anew each time: keys are many and stand in no order."""
+    ids = spark.range(rows, numPartitions=4).select(F.pmod(F.col("id") * 7919, F.lit(rows)).alias("doc_id"))
+    d = ids.select("doc_id", F.lit("a").alias("text"), F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en").alias("lang"), F.concat(F.lit("src"), (F.xxhash64("doc_id", F.lit(1)) % 20 + 20) % 20).alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    d.write.parquet(f"{folder}/documents.parquet")
+
+
+def test_ordinals_are_the_same_in_every_run(spark, tmp_path):
+    from halyard.operators.corpus import with_ordinal
+
+    rows = 300_000
+    _big_enough(spark, tmp_path, rows)
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "lang")
+    out = with_ordinal(d, "doc_id")
+    assert out.filter("ordinal != doc_id").count() == 0 and out.count() == rows
+    # By two columns: numbers are whole and follow the order, and a part of the plan gives the same ones.
+    two = with_ordinal(d, "lang", "doc_id")
+    german = -(-rows // 3)
+    assert two.filter(F.col("lang") == "de").filter(F.col("ordinal") != F.col("doc_id") / 3).count() == 0
+    assert two.select("ordinal").distinct().count() == rows
+    assert two.filter("lang = 'en'").agg(F.min("ordinal"), F.max("ordinal")).first()[:] == (german, rows - 1)
+
+
+@pytest.mark.parametrize("keys", [[], [7], [3, None, 1, None, 2], list(range(200)), [5] * 50 + [4] * 50])
+def test_ordinals_of_odd_tables(spark, monkeypatch, keys):
+    from halyard.operators import corpus
+
+    monkeypatch.setattr(corpus, "RANGE", 10)
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int").repartition(3)
+    got = [(r["ordinal"], r["k"]) for r in corpus.with_ordinal(df, "k").collect()]
+    assert sorted(got, key=lambda x: x[0]) == list(enumerate(sorted(keys, key=lambda k: (k is not None, k or 0))))
+
+
 def test_number_formats(spark):
     from halyard.functions import series as S
 
