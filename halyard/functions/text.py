@@ -78,6 +78,18 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def counted(values: Column) -> Column:
+    """(term, tf) of each distinct element of an array, and how often it stands there; sorted, and read by runs."""
+
+    def runs(t: Column) -> Column:
+        here = F.when(F.size(t) > 0, F.sequence(F.lit(0), F.size(t) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(here, lambda i: (i == 0) | (F.get(t, i) != F.get(t, i - 1)))
+        each = lambda s: F.transform(s, lambda at, i: F.struct(F.get(t, at).alias("term"), (F.coalesce(F.get(s, i + 1), F.size(t)) - at).cast("long").alias("tf")))
+        return F.element_at(F.transform(F.array(starts), each), 1)
+
+    return F.element_at(F.transform(F.array(F.sort_array(values)), runs), 1)
+
+
 def positions(ids: Column, part: list) -> Column:
     """All offsets, from 0, at which ``part`` stands in an array; the array is built once, and read once."""
     k = len(part)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from halyard.functions.text import tokens
+from halyard.functions.text import counted, tokens
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text", stop: list[str] | None = None) -> DataFrame:
@@ -17,12 +17,35 @@ def term_counts(docs: DataFrame, keys: list[str], text: str = "text", stop: list
     return each.groupBy(*keys, "term").agg(F.count("*").cast("long").alias("tf"))
 
 
+def document_counts(docs: DataFrame) -> DataFrame:
+    """(doc_id, year, term, tf, fresh, head) of docs (doc_id, year, text): term counts, each text's made within its row.
+
+    ``fresh`` is 1 in one row of each document and term, ``head`` in one row of
+    each document, so their sums are numbers of documents.  Nothing is grouped
+    by document, except those whose id stands in more than one row.
+    """
+    each = docs.select("doc_id", "year", F.posexplode_outer(counted(tokens(F.col("text")))).alias("_i", "_c")).filter(F.col("_i").isNotNull())
+    each = each.select("doc_id", "year", "_c.term", "_c.tf", F.lit(1).alias("fresh"), ((F.col("_i") == 0) & F.col("doc_id").isNotNull()).cast("int").alias("head"))
+    repeated = docs.groupBy(F.col("doc_id").alias("_d")).count().filter("count > 1").select("_d")
+    if repeated.isEmpty():
+        return each
+    same = F.col("doc_id").eqNullSafe(F.col("_d"))
+    first = lambda w: (F.row_number().over(w) == 1)
+    more = each.join(repeated, same, "left_semi").groupBy("doc_id", "year", "term").agg(F.sum("tf").alias("tf"))
+    more = more.withColumn("fresh", first(Window.partitionBy("doc_id", "term").orderBy("year")).cast("int"))
+    more = more.withColumn("head", (first(Window.partitionBy("doc_id").orderBy("term", "year")) & F.col("doc_id").isNotNull()).cast("int"))
+    return each.join(repeated, same, "left_anti").unionByName(more)
+
+
 def inverse_frequencies(counts: DataFrame, unit: list[str], least: int) -> DataFrame:
     """(term, idf) of terms in ``least`` units: ln((1 + N) / (1 + df)) + 1.  Kept, as it is read more than once."""
     units = counts.select(*unit, "term").distinct()
     n = counts.select(*unit).distinct().count()
-    df = units.groupBy("term").agg(F.count("*").alias("df")).filter(F.col("df") >= least)
-    return df.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)
+    return _idf(units.groupBy("term").agg(F.count("*").alias("df")), n, least)
+
+
+def _idf(df: DataFrame, n: int, least: int) -> DataFrame:
+    return df.filter(F.col("df") >= least).select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def similarities(counts: DataFrame, keys: list[str], anchor: DataFrame, idf: DataFrame, sublinear: bool = True) -> DataFrame:
@@ -44,17 +67,29 @@ def similarities(counts: DataFrame, keys: list[str], anchor: DataFrame, idf: Dat
 def variant(counts: DataFrame, anchor: DataFrame, fit: str, score: str, least: int = 2) -> DataFrame:
     """(year, value) of one of the four variants.
 
-    ``counts`` is (doc_id, year, term, tf), ``anchor`` (term, tf); ``fit`` is
-    "year" or "record", what idf is fitted on besides the anchor; ``score`` is
-    "year", annual documents, or "record_mean", the mean over records.
+    ``counts`` is (doc_id, year, term, tf), or what document_counts gives;
+    ``anchor`` is (term, tf); ``fit`` is "year" or "record", what idf is fitted
+    on besides the anchor; ``score`` is "year", annual documents, or
+    "record_mean", the mean over records.
+
+    Documents are counted as the terms of a year are summed up, so only a
+    score of records keeps terms by document.
     """
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and cut into words once
-    annual = counts.groupBy("year", "term").agg(F.sum("tf").alias("tf"))
-    unit = annual.select(F.col("year").cast("long").alias("u"), "term") if fit == "year" else counts.select(F.col("doc_id").alias("u"), "term")
-    fitted = unit.withColumn("a", F.lit(0)).union(anchor.select(F.lit(0).cast("long").alias("u"), "term", F.lit(1).alias("a")))
-    idf = inverse_frequencies(fitted, ["u", "a"], least)
+    if "fresh" not in counts.columns:
+        first = lambda *keys, by: (F.row_number().over(Window.partitionBy(*keys).orderBy(*by)) == 1).cast("int")
+        counts = counts.withColumn("fresh", first("doc_id", "term", by=["year"])).withColumn("head", first("doc_id", by=["term", "year"]))
+    if score != "year":
+        counts = counts.persist(StorageLevel.MEMORY_AND_DISK)  # texts are read and cut into words once
+    sums = [F.sum(c).alias(c) for c in ("tf", "fresh", "head")]
+    annual = counts.groupBy("year", "term").agg(*sums).persist(StorageLevel.MEMORY_AND_DISK)
+    anchor = anchor.persist(StorageLevel.MEMORY_AND_DISK)
+    units = F.col("fresh") if fit == "record" else F.lit(1).cast("long")
+    total = F.sum("head") if fit == "record" else F.count_distinct("year")
+    n = (annual.agg(total).first()[0] or 0) + int(not anchor.isEmpty())
+    df = annual.select("term", units.alias("df")).union(anchor.select("term", F.lit(1).cast("long"))).groupBy("term").agg(F.sum("df").alias("df"))
+    idf = _idf(df, n, least)
     if score == "year":
-        return similarities(annual, ["year"], anchor, idf).select("year", F.col("similarity").alias("value"))
+        return similarities(annual.select("year", "term", "tf"), ["year"], anchor, idf).select("year", F.col("similarity").alias("value"))
     each = similarities(counts, ["doc_id", "year"], anchor, idf)
     return each.groupBy("year").agg(F.avg("similarity").alias("value"))
 

@@ -23,7 +23,7 @@ ANCHOR = 1
 def _counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Terms of English documents by year, and of the anchor."""
     d = M.read(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", M.year_of(F.col("source")).alias("year"), "text")
-    counts = L.term_counts(d, ["doc_id", "year"])
+    counts = L.document_counts(d)
     return counts, counts.filter(F.col("doc_id") == ANCHOR).select("term", "tf")
 
 

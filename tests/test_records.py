@@ -166,6 +166,30 @@ def test_lexical_literal(spark):
     assert got[2000] > 0.5 and got[2001] == pytest.approx(0.5)
 
 
+def test_terms_are_counted_within_their_text(spark):
+    got = spark.createDataFrame([("b a b Ä ä a b",), ("",), (None,), ("aa",)], "t string").select(X.counted(F.split("t", " ")).alias("c")).collect()
+    assert [[tuple(x) for x in r["c"]] for r in got] == [[("a", 2), ("b", 3), ("Ä", 1), ("ä", 1)], [("", 1)], [], [("aa", 1)]]
+
+
+def test_tfidf_groups_no_terms_by_document(spark, tmp_path):
+    """Memory of a task follows the terms of years, not those of documents; an id that stands in two rows is one document."""
+    from halyard.plans import registry
+    from tests.compare import oracle, rows
+
+    texts = ["alpha beta beta", "beta gamma", "gamma delta alpha", "alpha beta", "", None, "delta delta", "beta alpha eta"]
+    odd = {"once": list(range(8)), "repeated": [0, 1, 2, 1, 3, 4, 2, 6]}
+    for name, ids in odd.items():
+        d = [(i, t, "en", f"src{k % 3}", 1) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+        spark.createDataFrame(d, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/x")
+        spark.read.parquet(f"{tmp_path}/{name}/x").coalesce(1).write.parquet(f"{tmp_path}/{name}/y")
+        one = next((tmp_path / name / "y").glob("*.parquet"))
+        one.rename(tmp_path / name / "documents.parquet")
+        for query in ("tfidf_record_year", "tfidf_year_year", "tfidf_record_record", "tfidf_year_record"):
+            assert rows(registry.QUERIES[query](spark, f"{tmp_path}/{name}").toPandas()) == rows(oracle(registry.ORACLE_SQL[query], f"{tmp_path}/{name}")), (name, query)
+    d = spark.read.parquet(f"{tmp_path}/once/documents.parquet").select("doc_id", F.lit(2000).alias("year"), "text")
+    assert "Aggregate" not in L.document_counts(d)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_moving_mean_and_peak(spark):
     df = spark.createDataFrame([("a", x, y) for x, y in enumerate([3.0, 3.0, 0.0, 3.0])], "k string, x int, y double")
     assert [round(r["smooth"], 6) for r in G.moving_mean(df, ["k"], "x", "y").orderBy("x").collect()] == [3.0, 2.0, 2.0, 2.0]
