@@ -342,6 +342,43 @@ def test_ordinals_are_the_same_in_every_run(spark, tmp_path):
     assert two.filter("lang = 'en'").agg(F.min("ordinal"), F.max("ordinal")).first()[:] == (german, rows - 1)
 
 
+def _values(spark, folder, rows=120_000):
+    """(doc_id, year, cos) on disk, in no order, and the same as arrays in the order of doc_id."""
+    import numpy as np
+
+    i = F.col("id")
+    at = spark.range(rows, numPartitions=4).select(F.pmod(i * 7919, F.lit(rows)).alias("doc_id"))
+    at.select("doc_id", (2000 + F.pmod(F.xxhash64("doc_id"), F.lit(12))).cast("int").alias("year"), (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1000)) / 1000).alias("cos")).write.parquet(f"{folder}/v")
+    df = spark.read.parquet(f"{folder}/v")
+    frame = df.toPandas().sort_values("doc_id")
+    return df, *(frame[c].to_numpy() for c in ("doc_id", "year", "cos")), np
+
+
+def _draws(np, keys):
+    import hashlib
+
+    return np.array([int(hashlib.md5(k.encode()).hexdigest()[:8], 16) for k in keys])
+
+
+def _tau(np, x):
+    i, j = np.triu_indices(len(x), 1)
+    return np.sign(x[j] - x[i]).sum() / len(i)
+
+
+def test_shuffled_years_of_many_rows(spark, tmp_path):
+    from halyard.operators.resample import year_shuffle
+
+    df, ids, years, cos, np = _values(spark, tmp_path)
+    taus = []
+    for rep in (1, 2, 3):
+        of = years[np.argsort(_draws(np, [f"{i}-{rep}" for i in ids]), kind="stable")]
+        taus.append(_tau(np, np.array([cos[of == y].mean() for y in range(2000, 2012)])))
+    # The bound lies between neighbours among the taus, so each of them is told apart.
+    for bound in sorted(abs(t) for t in taus):
+        row = year_shuffle(df, bound, 3).first()
+        assert (row["replicates"], row["exceed"]) == (3, sum(abs(t) >= bound - 1e-12 for t in taus))
+
+
 @pytest.mark.parametrize("keys", [[], [7], [3, None, 1, None, 2], list(range(200)), [5] * 50 + [4] * 50])
 def test_ordinals_of_odd_tables(spark, monkeypatch, keys):
     from halyard.operators import corpus
