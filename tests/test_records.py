@@ -379,6 +379,24 @@ def test_shuffled_years_of_many_rows(spark, tmp_path):
         assert (row["replicates"], row["exceed"]) == (3, sum(abs(t) >= bound - 1e-12 for t in taus))
 
 
+def test_bootstrap_of_many_rows(spark, tmp_path):
+    """Means, and the sign and the range that are made of them."""
+    from halyard.operators import resample as B
+
+    df, ids, years, cos, np = _values(spark, tmp_path)
+    want = {}
+    for rep in (1, 2):
+        for y in range(2000, 2012):
+            own = cos[years == y]
+            want[rep, y] = own[_draws(np, [f"{y}-{k}-{rep}" for k in range(1, len(own) + 1)]) % len(own)].mean()
+    means = B.bootstrap_means(df, 2)
+    assert {(r["rep"], r["year"]): r["mean"] for r in means.collect()} == pytest.approx(want)
+    taus = [_tau(np, np.array([want[rep, y] for y in range(2000, 2012)])) for rep in (1, 2)]
+    lines = B.bootstrap_lines(means)
+    assert B.same_sign(lines, 1.0).first()["same_sign_pct"] == pytest.approx(50 * sum(t > 0 for t in taus))
+    assert B.tau_range(lines).first()[:] == pytest.approx(tuple(np.percentile(taus, [2.5, 97.5])))
+
+
 @pytest.mark.parametrize("keys", [[], [7], [3, None, 1, None, 2], list(range(200)), [5] * 50 + [4] * 50])
 def test_ordinals_of_odd_tables(spark, monkeypatch, keys):
     from halyard.operators import corpus
